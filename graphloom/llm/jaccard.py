@@ -4,8 +4,8 @@ Sets of word shingles are put into bands of nearly equal size. Within a band any
 that are similar enough differ in at most k elements, so if the hash domain is divided into
 n > k equal ranges, they agree wholly on at least n - k of them: what a set has in one range,
 hashed, is a signature, and similar sets share one. A set signs for its own band and for any
-larger band in which it can have a partner. Ranges in which a set has nothing don't sign,
-unless it has so many of them that agreement on empty ranges alone would be possible.
+larger band in which it can have a partner. Ranges in which a set has fewer than LEAST elements
+don't sign, unless it has so many of them that agreement on such ranges alone would be possible.
 
 Sets that share a signature are linked in stars, not pairs: each to its predecessor by size
 and to the smallest partner allowed. After these are verified and joined up, the signature
@@ -27,8 +27,10 @@ from .components import components
 from .scratch import bitmap, bitmap_slot, cut, has, remove, without
 from .textops import U, mix, shingles
 
-#: Ratio of the largest to the smallest size of a band.
-BAND = 1.5
+#: Ratio of the largest to the smallest size of a band; elements below which a range needn't sign.
+BAND, LEAST = 1.25, 2
+#: Counters of shingles by their hash; they only set the order in which prefixes are taken.
+COUNTERS = 1 << 20
 
 
 class Bands:
@@ -46,12 +48,12 @@ class Bands:
         return int(np.searchsorted(self.tops, n))
 
     def ranges(self, band: int) -> tuple[np.ndarray, int]:
-        """Borders of the ranges, and how many empty ones a set may have without signing them."""
+        """Borders of the ranges, and how many weak ones a set may have without signing them."""
         if band not in self.edges:
             while len(self.tops) <= band:
                 self._grow()
             k = 2 * self.tops[band] * (self.den - self.num) // (self.den + self.num)
-            spare = 1 + k // 16 if k else 0
+            spare = 2 + k // 5 if k else 0
             n = k + 1 + spare
             self.edges[band] = np.array([(i << 64) // n for i in range(1, n)], U), spare
         return self.edges[band]
@@ -63,7 +65,7 @@ class Bands:
         while True:
             edges, spare = self.ranges(band)
             at = np.concatenate(([0], np.searchsorted(s, edges), [len(s)]))
-            full = at[1:] > at[:-1]
+            full = at[1:] - at[:-1] >= LEAST
             if len(full) - full.sum() > spare:
                 full[:] = True
             i = np.flatnonzero(full)
@@ -139,11 +141,32 @@ def _similar(num: int, den: int):
     return run
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(COUNTERS, np.int64)
     for b in batches:
-        for doc, s in zip(b.column("doc").to_pylist(), b.column("hashes").to_pylist(), strict=True):
-            s = np.frombuffer(s, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), doc)), pa.array(np.full(len(s), len(s), np.int32)), pa.array(s)], ["doc", "n", "tok"])
+        for s in b.column("hashes").to_pylist():
+            np.add.at(total, (np.frombuffer(s, U) % U(COUNTERS)).astype(np.int64), 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+
+def _prefixes(counts, num: int, den: int):
+    """Of each set the rarest shingles that any similar set must share one of, with their ranks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for s in b.column("hashes").to_pylist():
+                s = np.frombuffer(s, U)
+                often = counts.value[(s % U(COUNTERS)).astype(np.int64)]
+                order = np.lexsort((s, often))[: len(s) + (-len(s) * num) // den + 1]
+                rows.append((len(s), s[order].view(np.int64), np.arange(1, len(order) + 1)))
+            each = [len(x[1]) for x in rows]
+            own = np.repeat(np.arange(len(rows)), each)
+            if rows:
+                yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(own)), pa.array(np.repeat([x[0] for x in rows], each)), pa.array(np.concatenate([x[1] for x in rows])), pa.array(np.concatenate([x[2] for x in rows]))], ["doc", "n", "tok", "r"])
+
+    return run
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -196,14 +219,15 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     open_ = shared.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     open_ = open_.withColumn("lo", F.min("component").over(group)).withColumn("hi", F.max("component").over(group)).where("lo < hi")
     rest = kept(open_.select("doc", "component").distinct(), "rest")
-    tok = sets.join(rest, "doc", "left_semi").mapInArrow(_tokens, "doc long, n int, tok long")
-    tok = kept(tok, "tokens")
-    often = tok.groupBy("tok").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("doc").orderBy("df", "tok"))
-    head = tok.join(often, "tok").withColumn("r", rank).where(f"r <= n - ceil(n * {num} / {den}) + 1 and df > 1")
-    head = kept(head.join(rest, "doc").select("tok", "doc", "n", "component"), "prefixes")
-    x, y = (head.select("tok", *(F.col(c).alias(c + e) for c in ("doc", "n", "component"))) for e in "xy")
-    more = x.join(y, "tok").where(f"componentx < componenty and nx * {den} >= ny * {num} and ny * {den} >= nx * {num}")
+    often = np.zeros(COUNTERS, np.int32)
+    for slot, n in sets.select("hashes").mapInArrow(_counts, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
+        often[slot] = min(n, (1 << 31) - 1)
+    often = spark.sparkContext.broadcast(often)
+    head = sets.mapInArrow(_prefixes(often, num, den), "doc long, n long, tok long, r long")
+    head = kept(head.join(rest, "doc").select("tok", "doc", "n", "r", "component"), "prefixes")
+    x, y = (head.select("tok", *(F.col(c).alias(c + e) for c in ("doc", "n", "r", "component"))) for e in "xy")
+    # the first shingle in common, at ranks rx and ry, leaves at most so many others in common
+    more = x.join(y, "tok").where(f"componentx < componenty and (1 + least(nx - rx, ny - ry)) * {den + num} >= {num} * (nx + ny)")
     more = kept(more.select(F.least("docx", "docy").alias("a"), F.greatest("docx", "docy").alias("b")).distinct(), "pairs")
     new = kept(linked(more), "links")
     if not new.isEmpty():
