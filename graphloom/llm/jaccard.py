@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import bitmap, bitmap_slot, cut, has, remove, without
+from .scratch import bitmap, bitmap_slot, cut, has, numbers, remove, without
 from .textops import U, mix, shingles
 
 #: Ratio of the largest to the smallest size of a band; elements below which a range needn't sign.
 BAND, LEAST = 1.25, 2
 #: Counters of shingles by their hash; they only set the order in which prefixes are taken.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 18
 
 
 class Bands:
@@ -220,8 +220,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     open_ = open_.withColumn("lo", F.min("component").over(group)).withColumn("hi", F.max("component").over(group)).where("lo < hi")
     rest = kept(open_.select("doc", "component").distinct(), "rest")
     often = np.zeros(COUNTERS, np.int32)
-    for slot, n in sets.select("hashes").mapInArrow(_counts, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
-        often[slot] = min(n, (1 << 31) - 1)
+    rows = numbers(sets.select("hashes").mapInArrow(_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")))  # COUNTERS rows at most
+    often[rows["slot"]] = np.minimum(rows["n"], (1 << 31) - 1)
     often = spark.sparkContext.broadcast(often)
     head = sets.mapInArrow(_prefixes(often, num, den), "doc long, n long, tok long, r long")
     head = kept(head.join(rest, "doc").select("tok", "doc", "n", "r", "component"), "prefixes")

@@ -47,6 +47,12 @@ def folder(spark: SparkSession, tag: str) -> str:
     return f"{root(spark)}/graphloom/{tag}-{uuid.uuid4().hex}"
 
 
+def numbers(df: DataFrame) -> dict[str, np.ndarray]:
+    """Columns of a table of a constant size, by Arrow."""
+    table = df.toArrow()
+    return {c: table.column(c).to_numpy() for c in df.columns}
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete scratch that no result reads any more."""
     jvm = spark.sparkContext._jvm

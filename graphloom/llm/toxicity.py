@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut, ship, without
+from .scratch import cut, numbers, ship, without
 from .textops import ALNUM, U, chunks, mix, words
 
 #: Buckets of hashed features, and labelled rows that are learnt from at most (the least by CRC-32).
@@ -158,13 +158,13 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sample = known.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(SAMPLE)
     sample = F.broadcast(cut(sample, "labels")[0])  # at most SAMPLE rows of two numbers
     counted = docs.join(sample, "doc_id").select("text", "toxic").mapInArrow(_count, "bucket long, clean long, toxic long")
-    rows = counted.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
+    rows = numbers(counted.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))  # BUCKETS + 1 rows at most
     clean, toxic = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
-    at = rows["bucket"].to_numpy(np.int64)
-    size = rows[at == -1]
-    base = (float(size["toxic"].sum()) + 1) / (float(size["toxic"].sum() + size["clean"].sum()) + 2)
-    rows = rows[at >= 0]
-    clean[rows["bucket"]], toxic[rows["bucket"]] = rows["clean"], rows["toxic"]
+    own = rows["bucket"] >= 0
+    number = {c: float(rows[c][~own].sum()) for c in ("clean", "toxic")}
+    base = (number["toxic"] + 1) / (number["toxic"] + number["clean"] + 2)
+    at = rows["bucket"][own].astype(np.int64)
+    clean[at], toxic[at] = rows["clean"][own], rows["toxic"][own]
     model = spark.sparkContext.broadcast((clean, toxic, base))
     found = cut(docs.join(sample, "doc_id", "left").mapInArrow(_scan(model), "doc_id long, n_tokens long, segments array<struct<start:long,end:long,score:double>>"), "segments")[0]
 
