@@ -15,7 +15,7 @@ from ..operators import graph as G
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: What Spark and DuckDB call the same thing.
-DIALECT = {"ROUND_EVEN(": ("bround(", "round_even("), "DAYS(": ("unix_date(", "date_diff('day', DATE '1970-01-01', "), "PCT(": ("percentile(", "quantile_cont("), "UNNEST(": ("LATERAL explode(", "unnest("), "LIST_SIZE(": ("size(", "len("), "RANGE1(": ("sequence(1, ", "generate_series(1, "), "JSONK(": ("get_json_object(", "json_extract_string(")}
+DIALECT = {"ROUND_EVEN(": ("bround(", "round_even("), "DAYS(": ("unix_date(", "date_diff('day', DATE '1970-01-01', "), "PCT(": ("percentile(", "quantile_cont("), "UNNEST(": ("LATERAL explode(", "unnest("), "LIST_SIZE(": ("size(", "len("), "RANGE1(": ("sequence(1, ", "generate_series(1, "), "MATCHES(": ("regexp_like(", "regexp_matches("), "JSONK(": ("get_json_object(", "json_extract_string(")}
 BASE = """nodes AS (SELECT l_partkey AS id, min(CAST(l_shipdate AS DATE)) AS d FROM lineitem GROUP BY 1),
 edges AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS tgt FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey),
 placed AS (SELECT id, d, row_number() OVER (ORDER BY d, id) AS rn, count(*) OVER () AS n FROM nodes),
@@ -97,11 +97,11 @@ SQL = {
     "gate_distribution": RUNS + " SELECT dataset, round(avg(diff), 9) AS mean, round(stddev_pop(diff), 9) AS sd, round(PCT(abs(diff), 5e-1), 9) AS p50, round(PCT(abs(diff), 95e-2), 9) AS p95, round(avg(CAST(abs(diff) > 1e-3 AS INT)), 9) AS outside FROM delta GROUP BY 1",
     "strata_length": "SELECT s AS stratum, count(*) AS docs, round(avg(len_), 6) AS mean_chars FROM (SELECT len_, CASE WHEN len_ < q1 THEN 0 WHEN len_ < q2 THEN 1 WHEN len_ < q3 THEN 2 ELSE 3 END AS s FROM (SELECT length(text) AS len_ FROM documents) d CROSS JOIN (SELECT PCT(length(text), 25e-2) AS q1, PCT(length(text), 5e-1) AS q2, PCT(length(text), 75e-2) AS q3 FROM documents) q) x GROUP BY 1",
     "strata_group": "SELECT coalesce(t.source, 'other') AS grp, count(*) AS docs FROM documents d LEFT JOIN (SELECT source FROM (SELECT source, row_number() OVER (ORDER BY count(*) DESC, source) AS r FROM documents GROUP BY 1) x WHERE r <= 6) t ON t.source = d.source GROUP BY 1",
-    "prerelease_filter": "SELECT item, regexp_replace(item, '[^a-z]', '{e}'{g}) AS letters FROM (SELECT DISTINCT lower(p_type) AS item FROM part) x WHERE NOT regexp_like(item, '(alpha|beta|rc|snapshot|promo)')",
+    "prerelease_filter": "SELECT item, regexp_replace(item, '[^a-z]', '{e}'{g}) AS letters FROM (SELECT DISTINCT lower(p_type) AS item FROM part) x WHERE NOT MATCHES(item, '(alpha|beta|rc|snapshot|promo)')",
     "descriptors_raw": DESCRIPTORS + " SELECT id, " + ", ".join(f"round({c}, 6) AS {c}" for c in COLUMNS) + " FROM raw",
     "descriptors_z": DESCRIPTORS + ", m AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) < 1e-6 THEN 1 ELSE stddev_pop({c}) END AS s_{c}" for c in COLUMNS) + " FROM raw WHERE win = 'fit') SELECT id, " + ", ".join(f"round(({c} - m_{c}) / s_{c}, 5) AS {c}" for c in COLUMNS) + " FROM raw CROSS JOIN m",
     "audit_checks": "SELECT 'no_self_loops' AS check_id, (SELECT count(*) FROM edges WHERE src = tgt) = 0 AS ok UNION ALL SELECT 'no_duplicate_edges', (SELECT count(*) FROM edges) = (SELECT count(*) FROM (SELECT DISTINCT src, tgt FROM edges) x) UNION ALL SELECT 'windows_exhaustive', (SELECT count(*) FROM win) = (SELECT count(*) FROM nodes) UNION ALL SELECT 'fit_before_val', (SELECT max(d) FROM win WHERE win = 'fit') <= (SELECT min(d) FROM win WHERE win = 'val') UNION ALL SELECT 'val_before_test', (SELECT max(d) FROM win WHERE win = 'val') <= (SELECT min(d) FROM win WHERE win = 'test') UNION ALL SELECT 'ends_are_nodes', (SELECT count(*) FROM edges e LEFT JOIN nodes n ON n.id = e.tgt WHERE n.id IS NULL) = 0",
-    "bootstrap_ci": RUNS + ", o AS (SELECT diff, row_number() OVER (ORDER BY dataset, model, seed) - 1 AS i, count(*) OVER () AS n FROM delta), b AS (SELECT r.b, o.i, o.n FROM o, UNNEST(RANGE1(200)) AS r(b)), x AS (SELECT b.b, avg(p.diff) AS m FROM b JOIN o p ON p.i = (b.b * 7919 + b.i * 104729 + b.b * b.i * 31) % b.n GROUP BY 1) SELECT round(PCT(m, 25e-3), 9) AS low, round(PCT(m, 975e-3), 9) AS high FROM x",
+    "bootstrap_ci": RUNS + ", o AS (SELECT diff, row_number() OVER (ORDER BY dataset, model, seed) - 1 AS i, count(*) OVER () AS n FROM delta), b AS (SELECT r.b, o.i, o.n FROM o, UNNEST(RANGE1(200)) AS r(b)), x AS (SELECT b.b, avg(p.diff) AS m FROM b JOIN o p ON p.i = (b.b * 7919 + b.i * 104729 + b.b * b.i * 31) % b.n GROUP BY 1) SELECT round(PCT(m, 25e-3), 9) + 0e0 AS low, round(PCT(m, 975e-3), 9) + 0e0 AS high FROM x",
 }
 
 
