@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import ship
+from .scratch import cut, ship
 
 #: How licences are commonly named in headers.
 TEMPLATES = {
@@ -39,7 +39,11 @@ THRESHOLD = 0.6
 #: Words of a licence file at most, as a multiple of its template's; words of a passage before and after the licence word.
 FILE_SHARE, REACH = 2, 14
 _WORD = re.compile(r"[^\W_]+")
-_CUE = re.compile(r"licen[cs]|spdx|redistribut|hereby granted|\bCC[ -]?(?:BY|0)", re.I)
+_CUE = re.compile(r"licen[cs]|spdx|redistribut|hereby granted|\bcc[ -]?(?:by|0)")
+#: Every cue holds one of these, and they are found faster than a pattern is.
+_HINTS = ("licen", "spdx", "redistribut", "hereby granted", "ccby", "cc by", "cc-by", "cc0", "cc 0", "cc-0")
+#: Passages whose best template a task remembers; it starts afresh beyond that.
+TABLE = 100_000
 
 
 def terms(words: list[str]) -> Counter:
@@ -57,11 +61,13 @@ class Templates:
             norm = math.sqrt(sum(x * x for x in w.values()))
             for t, x in w.items():
                 self.post.setdefault(t, []).append((k, x / norm))
+        self.sizes = {sum(1 for t in v.elements() if " " not in t) for _, v in self.rows}
+        self.known: dict[tuple[str, ...], tuple[float, str, int]] = {}
 
     def best(self, words: list[str]) -> tuple[float, str, int]:
         """The most similar template, over all runs of words as long as its own, and that length; ties to the first name."""
         best = (0.0, "", 0)
-        for size in {sum(1 for t in v.elements() if " " not in t) for _, v in self.rows}:
+        for size in self.sizes:
             for at in range(max(1, len(words) - size + 1)):
                 part = terms(words[at : at + size])
                 w = {t: (1 + math.log(n)) * self.idf.get(t, math.log(1 + len(self.rows)) + 1) for t, n in part.items()}
@@ -77,13 +83,20 @@ class Templates:
 
     def scan(self, text: str) -> tuple[float, str, str]:
         """(score, licence, how) of a text: 'file', 'header' or 'none'."""
-        found, done = (0.0, "", 0), -1
+        found, done, text = (0.0, "", 0), -1, text.lower()
+        if not any(h in text for h in _HINTS):
+            return 0.0, "", "none"
         for m in _CUE.finditer(text):
             if m.start() < done:
                 continue
-            before = _WORD.findall(text[max(0, m.start() - 12 * REACH) : m.start()].lower())[-REACH:]
-            after = _WORD.findall(text[m.start() : m.start() + 20 * REACH].lower())[:REACH]
-            found = max(found, self.best(before + after), key=lambda x: x[0])
+            before = _WORD.findall(text[max(0, m.start() - 12 * REACH) : m.start()])[-REACH:]
+            after = _WORD.findall(text[m.start() : m.start() + 20 * REACH])[:REACH]
+            passage = (*before, *after)
+            if passage not in self.known:
+                if len(self.known) >= TABLE:
+                    self.known.clear()
+                self.known[passage] = self.best([*passage])
+            found = max(found, self.known[passage], key=lambda x: x[0])
             done = m.end() + 8
         if found[0] < THRESHOLD:
             return found[0], "", "none"
@@ -112,7 +125,7 @@ def license_scan(files: DataFrame, templates: dict[str, list[str]] | None = None
     ship(files.sparkSession)
     rows = files.select(F.col("id").cast("long"), F.col("path").cast("string"), F.col("text").cast("string"))
     own = rows.mapInArrow(_run(templates or TEMPLATES), "id long, path string, score double, license string, how string")
-    own = own.withColumn("parts", F.split("path", "/")).withColumn("depth", F.size("parts") - 1)
+    own = cut(own, "scans")[0].withColumn("parts", F.split("path", "/")).withColumn("depth", F.size("parts") - 1)
     held = own.where("how = 'file' and path is not null").select(F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/").alias("dir"), F.struct((-F.col("score")).alias("s"), "license").alias("x"))
     held = held.groupBy("dir").agg(F.min("x").alias("x")).select("dir", F.col("x.license").alias("theirs"))
     # the directories of silent files are joined once each, not once for each file
