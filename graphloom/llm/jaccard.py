@@ -8,7 +8,8 @@ larger band in which it can have a partner. Ranges in which a set has fewer than
 don't sign, unless it has so many of them that agreement on such ranges alone would be possible.
 
 Sets that share a signature are linked in stars, not pairs: each to its predecessor by size
-and to the smallest partner allowed. After these are verified and joined up, the signature
+and to the smallest partner allowed. Counts of elements in parts of the hash domain rule out most
+of them before sets are compared. After these are verified and joined up, the signature
 groups that still hold several components give further candidates by prefix filtering on
 their rarest shingles, and those are verified too, so that no link is missed.
 """
@@ -31,6 +32,8 @@ from .textops import U, mix, shingles
 BAND, LEAST = 1.25, 2
 #: Counters of shingles by their hash; they only set the order in which prefixes are taken.
 COUNTERS = 1 << 18
+#: Fewest counts by which pairs are passed over before their sets are compared, and elements to a count.
+SKETCH, PER_COUNT = 128, 4
 
 
 class Bands:
@@ -113,15 +116,48 @@ def _sets(k: int, bits, bands: Bands | None):
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(ids[who], each)), pa.array(np.repeat(count, each).astype(np.int32))], ["sig", "doc", "n"])
                         size, out, count, who = 0, [], [], []
             else:
-                size, out, who = 0, [], []
+                size, out, light, who = 0, [], [], []
                 for i, s in enumerate(shingles(_texts(b), k)):
                     if len(s):
                         out.append(s.tobytes())
+                        light.append(_sketch(s))
                         who.append(i)
                         size += len(out[-1])
                     if size > 8 << 20 or i == len(ids) - 1 and out:
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(out, pa.binary())], ["doc", "hashes"])
-                        size, out, who = 0, [], []
+                        n = pa.array(np.array([len(x) // 8 for x in out], np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[who]), n, pa.array(light, pa.binary()), pa.array(out, pa.binary())], ["doc", "n", "sketch", "hashes"])
+                        size, out, light, who = 0, [], [], []
+
+    return run
+
+
+def _sketch(s: np.ndarray) -> bytes:
+    """How many elements of a set fall in each equal part of the hash domain, 255 at most.
+
+    Larger sets have more parts, a power of two, so that there are few elements to each.
+    """
+    bits = max(SKETCH.bit_length() - 1, (len(s) // PER_COUNT).bit_length())
+    return np.minimum(np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _near(num: int, den: int):
+    """Pairs whose sketches leave room for the similarity: sets differ in no fewer elements than their counts do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.array(b.column(c).to_pylist(), object) for c in "xy")
+            n = b.column("nx").to_numpy() + b.column("ny").to_numpy()
+            wide = np.array([(len(p), len(q)) for p, q in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
+            ok = np.zeros(b.num_rows, bool)
+            for p, q in np.unique(wide, axis=0):
+                rows, m = np.flatnonzero((wide == (p, q)).all(1)), min(p, q)
+                step = max(1, (4 << 20) // int(p + q))
+                for at in (rows[i : i + step] for i in range(0, len(rows), step)):
+                    u, v = (np.frombuffer(b"".join(z[at]), np.uint8).reshape(len(at), m, -1) for z in (x, y))
+                    full = (u == 255).any((1, 2)) | (v == 255).any((1, 2))
+                    differ = np.abs(u.sum(2, dtype=np.int64) - v.sum(2, dtype=np.int64)).sum(1)
+                    ok[at] = full | (differ * (den + num) <= (den - num) * n[at])
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
 
     return run
 
@@ -207,9 +243,11 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     pairs = near.select("doc", F.explode(F.array(F.when(F.col("pn") * den >= F.col("n") * num, F.col("p")), F.col("q"))).alias("o")).where("o <> doc")
     pairs = kept(pairs.select(F.least("doc", "o").alias("a"), F.greatest("doc", "o").alias("b")).distinct(), "pairs")
     involved = kept(shared.select("doc").distinct(), "involved")
-    sets = kept(at(involved, "doc", None, "doc long, hashes binary").join(involved, "doc", "left_semi"), "hashes")
+    sets = kept(at(involved, "doc", None, "doc long, n long, sketch binary, hashes binary").join(involved, "doc", "left_semi"), "hashes")
 
     def linked(pairs: DataFrame) -> DataFrame:
+        light = [sets.select(F.col("doc").alias(e), F.col("n").alias("n" + s), F.col("sketch").alias(s)) for e, s in (("a", "x"), ("b", "y"))]
+        pairs = kept(pairs.join(light[1], "b").join(light[0], "a").select("a", "b", "nx", "ny", "x", "y").mapInArrow(_near(num, den), "a long, b long"), "near")
         both = pairs.join(sets.select(F.col("doc").alias("b"), F.col("hashes").alias("y")), "b").join(sets.select(F.col("doc").alias("a"), F.col("hashes").alias("x")), "a")
         return both.select("a", "b", "x", "y").mapInArrow(_similar(num, den), "a long, b long").distinct()
 
