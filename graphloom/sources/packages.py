@@ -110,7 +110,9 @@ def name_numbers(names: DataFrame) -> DataFrame:
     and every evaluation gives the same ids.
     """
     drawn = sorted(r[0] for r in names.select("name").orderBy(F.xxhash64("name"), "name").limit(SLICES * 8).collect())
-    borders = F.array(*map(F.lit, drawn[8::8])) if len(drawn) > 8 else F.array().cast("array<string>")
+    if len(drawn) <= 8:  # these are all of them
+        return names.withColumn("id", (F.row_number().over(Window.orderBy("name")) - 1).cast("bigint"))
+    borders = F.array(*map(F.lit, drawn[8::8]))
     cut = names.withColumn("s", F.size(F.filter(borders, lambda b: b <= F.col("name"))))
     before = F.coalesce(F.sum("k").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = cut.groupBy("s").agg(F.count("*").alias("k")).select("s", before.alias("before"))  # SLICES rows at most
