@@ -15,7 +15,7 @@ from ..operators import graph as G
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: What Spark and DuckDB call the same thing.
-DIALECT = {"ROUND_EVEN(": ("bround(", "round_even("), "DAYS(": ("unix_date(", "date_diff('day', DATE '1970-01-01', "), "PCT(": ("percentile(", "quantile_cont("), "UNNEST(": ("LATERAL explode(", "unnest("), "LIST_SIZE(": ("size(", "len("), "RANGE1(": ("sequence(1, ", "generate_series(1, "), "MATCHES(": ("regexp_like(", "regexp_matches("), "JSONK(": ("get_json_object(", "json_extract_string(")}
+DIALECT = {"ROUND_EVEN(": ("bround(", "round_even("), "DAYS(": ("unix_date(", "date_diff('day', DATE '1970-01-01', "), "PCT(": ("percentile(", "quantile_cont("), "UNNEST(": ("LATERAL explode(", "unnest("), "LIST_SIZE(": ("size(", "len("), "RANGE1(": ("sequence(1, ", "generate_series(1, "), "MATCHES(": ("regexp_like(", "regexp_matches("), "JSONK(": ("get_json_object(", "json_extract_string("), "HEX(": ("conv(", "concat('0x', "), "HEXEND": (", 16, 10)", ")")}
 BASE = """nodes AS (SELECT l_partkey AS id, min(CAST(l_shipdate AS DATE)) AS d FROM lineitem GROUP BY 1),
 edges AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS tgt FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey),
 placed AS (SELECT id, d, row_number() OVER (ORDER BY d, id) AS rn, count(*) OVER () AS n FROM nodes),
@@ -53,6 +53,13 @@ raw AS (SELECT w.id, w.win, ln(1 + coalesce(din.k, 0)) AS in_degree, ln(1 + coal
  FROM win w CROSS JOIN cutoff LEFT JOIN din ON din.id = w.id LEFT JOIN dout ON dout.id = w.id LEFT JOIN nin ON nin.id = w.id LEFT JOIN nout ON nout.id = w.id LEFT JOIN rec ON rec.id = w.id LEFT JOIN rin ON rin.id = w.id LEFT JOIN rout ON rout.id = w.id LEFT JOIN cit ON cit.id = w.id)"""
 COLUMNS = "in_degree out_degree nn_in nn_out recip_out has_edge recent_in recent_out recent_in_share cit_age node_recency".split()
 TOKENS = "tok AS (SELECT doc_id, t.w AS term FROM documents, UNNEST(regexp_extract_all(lower(text), '[a-z][a-z0-9_+#.-]*', 0)) AS t(w))"
+#: Draws of fit nodes for every fit source with k positives, of which the first 10 k that aren't positives are its negatives. Fit nodes have
+#: the places 1 to n. Where 40 k < n, places are drawn by hash and repeats dropped, else all places are put in the order of a hash: a source
+#: costs 40 k draws at most. That fewer than 11 k of 40 k draws differ has a chance below 1e-8 for k = 1, and less for more.
+NEGATIVES = """pos AS (SELECT e.src, count(*) AS k FROM edges e JOIN win w ON w.id = e.src WHERE w.win = 'fit' GROUP BY 1), fits AS (SELECT count(*) AS n FROM win WHERE win = 'fit'),
+asks AS (SELECT src, k, n, 40 * k < n AS few, least(40 * k, n) AS draws FROM pos CROSS JOIN fits),
+drawn AS (SELECT a.src, a.k, a.n, a.few, t.j, CAST(HEX(substr(md5(concat(CAST(a.src AS VARCHAR(20)), ':', CAST(t.j AS VARCHAR(20)))), 1, 15)HEXEND AS BIGINT) AS h FROM asks a, UNNEST(RANGE1(a.draws)) AS t(j)),
+held AS (SELECT src, k, CASE WHEN few THEN h % n + 1 ELSE j END AS place, min(CASE WHEN few THEN j ELSE h END) AS o FROM drawn GROUP BY 1, 2, 3)"""
 #: Runs of models over seeds, made from orders so that every statistic has rows: group = dataset, month = seed, status and priority = model.
 RUNS = """runs AS (SELECT CASE WHEN o_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset, o_orderpriority AS model, CAST(extract(month FROM o_orderdate) AS INT) AS seed, avg(o_totalprice) / 1e6 AS mrr, count(*) AS n FROM orders GROUP BY 1, 2, 3),
 base AS (SELECT dataset, seed, avg(mrr) AS floor FROM runs GROUP BY 1, 2), delta AS (SELECT r.*, b.floor, r.mrr - b.floor AS diff FROM runs r JOIN base b ON r.dataset = b.dataset AND r.seed = b.seed)"""
@@ -72,9 +79,9 @@ SQL = {
     "edge_time": "SELECT e.src, e.tgt, round(ln(1 + greatest(DAYS(a.d) - DAYS(b.d), 0)), 6) AS edge_time FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.tgt",
     "split_scale": "SELECT a.win AS src_win, b.win AS tgt_win, count(*) AS edges, count(DISTINCT e.src) AS sources FROM edges e JOIN win a ON a.id = e.src JOIN win b ON b.id = e.tgt GROUP BY 1, 2",
     "leakage_antijoin": "SELECT count(*) AS blocked FROM edges p JOIN win w ON w.id = p.src WHERE w.win = 'test' AND EXISTS (SELECT 1 FROM edges f JOIN win x ON x.id = f.src WHERE x.win = 'fit' AND f.src = p.src AND f.tgt = p.tgt)",
-    "two_hop": "SELECT a.src, b.tgt, count(*) AS paths FROM edges a JOIN edges b ON a.tgt = b.src WHERE a.src % 50 = 0 GROUP BY 1, 2",
+    "two_hop": "SELECT a.src, b.tgt, count(*) AS paths FROM edges a JOIN edges b ON a.tgt = b.src GROUP BY 1, 2",
     "symmetrize": "SELECT src, tgt FROM edges UNION SELECT tgt AS src, src AS tgt FROM edges",
-    "negatives": "SELECT src, id FROM (SELECT s.src, f.id, s.k, row_number() OVER (PARTITION BY s.src ORDER BY md5(concat(CAST(s.src AS VARCHAR(20)), ':', CAST(f.id AS VARCHAR(20)))), f.id) AS r FROM (SELECT e.src, count(*) AS k FROM edges e JOIN win w ON w.id = e.src WHERE w.win = 'fit' AND e.src % 40 = 0 GROUP BY 1) s CROSS JOIN (SELECT id FROM win WHERE win = 'fit') f WHERE NOT EXISTS (SELECT 1 FROM edges p WHERE p.src = s.src AND p.tgt = f.id)) x WHERE r <= 10 * k",
+    "negatives": NEGATIVES + " SELECT src, id FROM (SELECT h.src, f.id, h.k, row_number() OVER (PARTITION BY h.src ORDER BY h.o, f.rn) AS r FROM held h JOIN win f ON f.rn = h.place WHERE NOT EXISTS (SELECT 1 FROM edges p WHERE p.src = h.src AND p.tgt = f.id)) x WHERE r <= 10 * k",
     "df_idf": TOKENS + " SELECT term, count(DISTINCT doc_id) AS df, round(ln((1 + (SELECT count(*) FROM documents)) / (1 + count(DISTINCT doc_id))) + 1, 6) AS idf FROM tok GROUP BY 1",
     "vocab_topk": TOKENS + " SELECT term, count(*) AS tf FROM tok GROUP BY 1 ORDER BY tf DESC, term LIMIT 200",
     "tfidf_weights": TOKENS + ", tf AS (SELECT doc_id, term, 1 + ln(count(*)) AS tf FROM tok GROUP BY 1, 2), df AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1), w AS (SELECT doc_id, tf.term, tf * idf AS x FROM tf JOIN df ON df.term = tf.term) SELECT doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS weight FROM w",
