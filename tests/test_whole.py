@@ -1,9 +1,10 @@
 """Queries do the whole job: every source, step, term and resample."""
 
 import duckdb
+import numpy as np
 import pytest
 
-from graphloom.plans import registry
+from graphloom.plans import registry, scans
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +44,21 @@ def test_two_hop_and_negatives_have_every_source(spark, duck):
     assert set(mine) == {s for s in out if s in fit and fit - out[s]}
     assert all(len(set(x)) == len(x) == min(10 * len(out[s]), len(fit - out[s])) and set(x) <= fit - out[s] for s, x in mine.items())
     assert sorted(map(repr, ((r.src, r.id) for r in drawn))) == _by_name(duck, registry.ORACLES["negatives"], ["src", "id"])
+
+
+def test_walks_and_singular_values_are_whole(spark, duck):
+    edges = np.array(_graph(duck, "SELECT src, tgt FROM edges"))
+    ids = np.unique(edges)
+    a = np.zeros((len(ids), len(ids)))
+    s, t = np.searchsorted(ids, edges).T
+    a[s, t] = a[t, s] = 1
+    p = a / a.sum(1, keepdims=True)
+    want = 0.85 * sum(0.15**k * np.linalg.matrix_power(p, k) for k in range(21))
+    sources = {x for (x,) in _graph(duck, "SELECT DISTINCT e.src FROM edges e JOIN win w ON w.id = e.src WHERE w.win = 'test'")}
+    got = {(r.src, r.id): r.score for r in scans.personal_rank(spark, SF).collect()}
+    at = {int(x): k for k, x in enumerate(ids)}
+    assert set(got) == {(s, int(i)) for s in sources for i in ids if want[at[s], at[int(i)]] > 0}
+    assert all(abs(x - want[at[s], at[i]]) < 2e-9 for (s, i), x in got.items())
+    d = a.sum(1)
+    values = np.linalg.svd(a / np.sqrt(np.outer(d, d)), compute_uv=False)[:128]
+    assert np.allclose([r.value for r in scans.singular_values(spark, SF).orderBy("k").collect()], values, atol=2e-3)
