@@ -2,10 +2,11 @@
 
 Base spans (email, ip, card, phone) come from patterns. A term discloses a protected value e if
 their pointwise mutual information over the corpus nears the information of e itself:
-PMI(t; e) >= DISCLOSURE * IC(e), which is ln(n(t,e) / n(t)) >= -(1 - DISCLOSURE) * ln(N / n(e)),
-with n(t,e) and n(e) counted over the distinct contexts of e, so that copies count once, n(t)
-over the documents that have t, and N the number of documents. Terms that co-occur in at least
-SUPPORT contexts and reach this are spans of kind 'term' wherever they stand.
+PMI(t; e) >= DISCLOSURE * IC(e), which is ln(n(t,e) / n(t)) >= -(1 - DISCLOSURE) * ln(N / n(e)).
+All four are numbers of documents: N of all, n(e) and n(t) of those that have e or t, n(t,e) of those
+that have both, wherever they stand in them. Terms are runs of letters outside of e-mail addresses. Those
+that co-occur in at least SUPPORT distinct texts (copies alone are no evidence) and reach this are spans
+of kind 'term' wherever they stand.
 
 All of it is expressions over the row, but for the counts, which are pre-aggregated.
 """
@@ -17,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import BROADCAST_ROWS, cut
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the kinds, with possessive quantifiers where nothing that follows could match less.
@@ -29,8 +30,8 @@ PATTERNS = {
 }
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 TERM = r"\p{L}{4,}+"
-#: Distinct contexts a term needs, the share of the information that counts as disclosure, characters of context on either side.
-SUPPORT, DISCLOSURE, AROUND = 3, 0.9, 48
+#: Distinct texts a term needs, the share of the information that counts as disclosure.
+SUPPORT, DISCLOSURE = 3, 0.9
 #: Disclosed terms that are compared as a literal list; more are joined. Hash buckets of the join's first pass.
 LIST, BUCKETS = 2_000, 65_536
 _BLOCK, _CHUNK = 64, 4096
@@ -52,18 +53,16 @@ def running(lengths: Column) -> Column:
     return F.when(F.size(lengths) > 0, let(lengths, blocks)).otherwise(F.array().cast("array<bigint>"))
 
 
-_SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string,around:string>>"
+_SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
 
 def spans(text: Column, kind: str, pattern: str, holds: Callable[[Column], Column], guard: Column) -> Column:
-    """Matches of ``pattern`` that ``holds`` accepts, with code points from start to end and what stands around."""
+    """Matches of ``pattern`` that ``holds`` accepts, with code points from start to end."""
 
     def of(found: Column) -> Column:
         def located(gaps: Column) -> Column:
             steps = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.when(i > 0, F.length(F.get(found, i - 1))).otherwise(0))
-            left = lambda s: F.when(F.length(s) < AROUND, F.concat(F.lit(" "), s)).otherwise(F.right(s, F.lit(AROUND)))
-            right = lambda s: F.when(F.length(s) < AROUND, F.concat(s, F.lit(" "))).otherwise(F.left(s, F.lit(AROUND)))
-            return let(running(steps), lambda at: F.transform(found, lambda m, i: F.struct(F.lit(kind).alias("kind"), F.get(at, i).alias("start"), (F.get(at, i) + F.length(m)).alias("end"), m.alias("value"), F.concat(left(F.get(gaps, i)), F.lit("\n"), right(F.get(gaps, i + 1))).alias("around"))))
+            return let(running(steps), lambda at: F.transform(found, lambda m, i: F.struct(F.lit(kind).alias("kind"), F.get(at, i).alias("start"), (F.get(at, i) + F.length(m)).alias("end"), m.alias("value"))))
 
         return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), lambda gaps: F.filter(located(gaps), lambda s: holds(s["value"])))).otherwise(F.array().cast(_SPAN))
 
@@ -87,18 +86,29 @@ def written(of: Column) -> Column:
     return F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def words(text: Column) -> Column:
+    """Distinct terms of a text outside of e-mail addresses, the only base spans that hold letters."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace(text, PATTERNS["email"], " ")), F.lit(TERM), F.lit(0)))
+
+
 def disclosed_terms(found: DataFrame) -> DataFrame:
     """Terms (term) that disclose a value, from rows of text and base spans."""
-    values = found.where(F.size("base") > 0).select(F.explode("base").alias("s")).select("s.kind", F.lower("s.value").alias("value"), F.array_distinct(F.regexp_extract_all(F.lower("s.around"), F.lit(rf"(?<=\s){TERM}(?=\s)"), F.lit(0))).alias("terms")).distinct()
-    values = cut(values, "contexts")[0]
-    each = values.groupBy("kind", "value").agg(F.count("*").alias("n_e")).where(f"n_e >= {SUPPORT}")
-    both = values.join(each, ["kind", "value"]).select("kind", "value", "n_e", F.explode("terms").alias("term")).groupBy("kind", "value", "term").agg(F.first("n_e").alias("n_e"), F.count("*").alias("n_te")).where(f"n_te >= {SUPPORT}")
+    texts = found.where(F.size("base") > 0).withColumn("h", F.sha2("text", 256))
+    own = F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value"))))
+    values = cut(texts.select("h", F.explode(own).alias("s")).groupBy("h", "s.kind", "s.value").agg(F.count("*").alias("m")), "values")[0]
+    each = values.groupBy("kind", "value").agg(F.sum("m").alias("n_e"), F.count("*").alias("texts")).where(f"texts >= {SUPPORT}").drop("texts")
+    held = cut(values.join(each, ["kind", "value"]), "held")[0]
+    if held.isEmpty():
+        return held.select(F.col("value").alias("term"))
+    # one row of each text that has such a value
+    few = held.select("h").distinct()
+    theirs = texts.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, "h", "left_semi").select("h", words(F.col("text")).alias("terms")).dropDuplicates(["h"])
+    both = theirs.join(held, "h").select("kind", "value", "n_e", "m", F.explode("terms").alias("term")).groupBy("kind", "value", "term").agg(F.first("n_e").alias("n_e"), F.sum("m").alias("n_te"), F.count("*").alias("texts")).where(f"texts >= {SUPPORT}")
     both = cut(both, "pairs")[0]
     if both.isEmpty():
         return both.select("term")
     size = found.count()
-    words = found.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    often = words.groupBy("term").agg(F.count("*").alias("n_t"))
+    often = found.select(F.explode(words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     told = both.join(often, "term").where(F.log(F.col("n_te") / F.greatest("n_t", "n_te")) >= -(1 - DISCLOSURE) * F.log(F.lit(size) / F.col("n_e")))
     return told.select("term").distinct()
 
@@ -119,15 +129,15 @@ def personal_data(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     if not number:
         return found.withColumn("terms", none)
     own = F.transform(F.filter(spans(F.lower("text"), "term", TERM, lambda v: F.lit(True), F.lit(True)), lambda s: F.array_contains(F.col("own"), s["value"])), lambda s: s)
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    mine = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
     if number <= LIST:
         told = F.array(*(F.lit(r.term) for r in terms.collect()))
-        found = found.withColumn("own", F.array_intersect(words, told))
+        found = found.withColumn("own", F.array_intersect(mine, told))
     else:
         # first by a hash bucket, of which there are BUCKETS at most, then exactly; equal texts are one row here
         bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
         some = F.broadcast(terms.select(bucket("term").alias("b")).distinct())
-        rows = found.select(F.sha2("text", 256).alias("h"), F.explode(words).alias("term")).withColumn("b", bucket("term")).join(some, "b", "left_semi").join(terms, "term", "left_semi")
+        rows = found.select(F.sha2("text", 256).alias("h"), F.explode(mine).alias("term")).withColumn("b", bucket("term")).join(some, "b", "left_semi").join(terms, "term", "left_semi")
         own_terms = rows.groupBy("h").agg(F.collect_set("term").alias("own"))
         found = found.withColumn("h", F.sha2("text", 256)).join(own_terms, "h", "left").drop("h").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
     return found.withColumn("terms", F.when(F.size("own") > 0, own).otherwise(none)).drop("own")

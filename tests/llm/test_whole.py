@@ -1,0 +1,12 @@
+"""Operators take whole documents, whole licences and partial passages."""
+
+from graphloom.llm import pii
+
+
+def test_pii_terms_from_whole_documents_and_copies(spark):
+    far = "filler words that go on and on for well over fifty characters of text "
+    rows = [(i, f"(Zelphora): {far} sam@corp.example says nr {'abcd'[i]}") for i in range(4)]
+    rows += [(10 + i, rows[0][1]) for i in range(30)] + [(100 + i, f"{far} says nr {i}") for i in range(60)]
+    rows.append((900, "only zelphora here"))
+    out = {r.doc_id: r.text for r in pii.without_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[900] == "only [TERM] here" and out[10] == f"([TERM]): {far} [EMAIL] says nr a" and out[100] == rows[34][1]
