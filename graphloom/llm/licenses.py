@@ -1,7 +1,8 @@
 """Licences of files, by TF-IDF cosine to templates and inheritance from directories.
 
-Passages of a text around a licence word are compared with header templates, and texts
-that hold little else are licence files, all as sparse TF-IDF vectors over word unigrams and bigrams. A file
+Passages of a text around a licence word are compared with header templates, and whole texts with full
+licence texts, all as sparse TF-IDF vectors over word unigrams and bigrams. A licence file is a text that is
+similar to a full text, holds little but a header, or has a header and the name of a licence file. A file
 that says nothing takes the licence of the nearest ancestor directory that has a licence file:
 its path is exploded into ancestors, which are joined with the directories of such files.
 """
@@ -12,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +37,12 @@ TEMPLATES = {
     "MIT": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "spdx license identifier mit"],
     "MPL-2.0": ["subject to the terms of the mozilla public license version 2 0", "licensed under the mozilla public license 2 0"],
 }
+#: Full texts by licence. That of AGPL-3.0 is that of GPL-3.0 with the name changed, that of BSD-2-Clause that of BSD-3-Clause without the third clause.
+FULL = {f.name.removesuffix(".txt"): f.read_text() for f in sorted((Path(__file__).parent / "texts").glob("*.txt"))}
 THRESHOLD = 0.6
+#: Cosine of a whole text to a full licence text from which on it is a licence file.
+FULL_THRESHOLD = 0.8
+_FILE_NAME = re.compile(r"(?:^|/)(?:licen[cs]e|copying|unlicense)(?:[._-][^/]*)?$", re.IGNORECASE)
 #: Words of a licence file at most, as a multiple of its template's; words of a passage before and after the licence word.
 FILE_SHARE, REACH = 2, 14
 _WORD = re.compile(r"[^\W_]+")
@@ -50,42 +57,56 @@ def terms(words: list[str]) -> Counter:
     return Counter(words) + Counter(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
 
 
-class Templates:
-    def __init__(self, templates: dict[str, list[str]]):
-        self.rows = [(name, terms(_WORD.findall(t.lower()))) for name, ts in sorted(templates.items()) for t in ts]
-        df = Counter(t for _, v in self.rows for t in v)
-        self.idf = {t: math.log((1 + len(self.rows)) / (1 + n)) + 1 for t, n in df.items()}
-        self.post: dict[str, list[tuple[int, float]]] = {}
-        for k, (_, v) in enumerate(self.rows):
+class Vectors:
+    """Unit TF-IDF vectors of named texts, by term."""
+
+    def __init__(self, rows: list[tuple[str, Counter]]):
+        self.rows, self.post = rows, {}
+        df = Counter(t for _, v in rows for t in v)
+        self.idf = {t: math.log((1 + len(rows)) / (1 + n)) + 1 for t, n in df.items()}
+        for k, (_, v) in enumerate(rows):
             w = {t: (1 + math.log(n)) * self.idf[t] for t, n in v.items()}
             norm = math.sqrt(sum(x * x for x in w.values()))
             for t, x in w.items():
                 self.post.setdefault(t, []).append((k, x / norm))
+
+    def dots(self, part: Counter) -> dict[int, float]:
+        """Cosines of a vector to all texts that share a term with it."""
+        w = {t: (1 + math.log(n)) * self.idf.get(t, math.log(1 + len(self.rows)) + 1) for t, n in part.items()}
+        norm = math.sqrt(sum(x * x for x in w.values())) or 1.0
+        dots: dict[int, float] = {}
+        for t, x in w.items():
+            for k, y in self.post.get(t, ()):
+                dots[k] = dots.get(k, 0.0) + x * y / norm
+        return dots
+
+
+class Templates:
+    def __init__(self, templates: dict[str, list[str]], full: dict[str, str] | None = None):
+        self.headers = Vectors([(name, terms(_WORD.findall(t.lower()))) for name, ts in sorted(templates.items()) for t in ts])
+        self.rows = self.headers.rows
         self.sizes = {sum(1 for t in v.elements() if " " not in t) for _, v in self.rows}
         self.known: dict[tuple[str, ...], tuple[float, str, int]] = {}
+        full = FULL if full is None else full
+        self.full = Vectors([(name, terms(_WORD.findall(t.lower()))) for name, t in sorted(full.items())])
+        #: licences whose headers a full text holds itself
+        self.own = {name: {k for k, (s, _) in self.passages(t.lower()).items() if s >= THRESHOLD} for name, t in full.items()}
 
     def best(self, words: list[str]) -> tuple[float, str, int]:
         """The most similar template, over all runs of words as long as its own, and that length; ties to the first name."""
         best = (0.0, "", 0)
         for size in self.sizes:
             for at in range(max(1, len(words) - size + 1)):
-                part = terms(words[at : at + size])
-                w = {t: (1 + math.log(n)) * self.idf.get(t, math.log(1 + len(self.rows)) + 1) for t, n in part.items()}
-                norm = math.sqrt(sum(x * x for x in w.values())) or 1.0
-                dots: dict[int, float] = {}
-                for t, x in w.items():
-                    for k, y in self.post.get(t, ()):
-                        dots[k] = dots.get(k, 0.0) + x * y / norm
+                dots = self.headers.dots(terms(words[at : at + size]))
                 for k, s in dots.items():
                     if s > best[0] + 1e-12 or abs(s - best[0]) <= 1e-12 and best[1] and self.rows[k][0] < best[1]:
                         best = (s, self.rows[k][0], size)
         return best
 
-    def scan(self, text: str) -> tuple[float, str, str]:
-        """(score, licence, how) of a text: 'file', 'header' or 'none'."""
-        found, done, text = (0.0, "", 0), -1, text.lower()
-        if not any(h in text for h in _HINTS):
-            return 0.0, "", "none"
+    def passages(self, text: str) -> dict[str, tuple[float, int]]:
+        """Score and template length of the best passage of each licence that is the best of one; text in lower case."""
+        found: dict[str, tuple[float, int]] = {}
+        done = -1
         for m in _CUE.finditer(text):
             if m.start() < done:
                 continue
@@ -96,18 +117,32 @@ class Templates:
                 if len(self.known) >= TABLE:
                     self.known.clear()
                 self.known[passage] = self.best([*passage])
-            found = max(found, self.known[passage], key=lambda x: x[0])
+            score, name, size = self.known[passage]
+            found[name] = max(found.get(name, (score, size)), (score, size))
             done = m.end() + 8
-        if found[0] < THRESHOLD:
-            return found[0], "", "none"
-        return *found[:2], "file" if len(_WORD.findall(text)) <= FILE_SHARE * found[2] else "header"
+        return found
+
+    def scan(self, text: str, path: str = "") -> tuple[float, str, str]:
+        """(score, licences, how) of a text: 'file', 'header' or 'none'; several licences are joined by AND, in the order of names."""
+        text = text.lower()
+        if not any(h in text for h in _HINTS):
+            return 0.0, "", "none"
+        found, words = self.passages(text), _WORD.findall(text)
+        top, name = max(((s, self.full.rows[k][0]) for k, s in self.full.dots(terms(words)).items()), default=(0.0, ""))
+        score, size = max(found.values(), default=(0.0, 0), key=lambda x: x[0])
+        names = {k for k, (s, _) in found.items() if s >= THRESHOLD}
+        if top >= FULL_THRESHOLD:
+            return top, " AND ".join(sorted(names - self.own[name] | {name})), "file"
+        if not names:
+            return score, "", "none"
+        return score, " AND ".join(sorted(names)), "file" if len(words) <= FILE_SHARE * size or _FILE_NAME.search(path) else "header"
 
 
 def _run(templates: dict[str, list[str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Templates(templates)
         for b in batches:
-            rows = [t.scan(x or "") for x in b.column("text").to_pylist()]
+            rows = [t.scan(x or "", p or "") for x, p in zip(b.column("text").to_pylist(), b.column("path").to_pylist(), strict=True)]
             score, name, how = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("path"), pa.array(score, pa.float64()), pa.array(name, pa.string()), pa.array(how, pa.string())], ["id", "path", "score", "license", "how"])
 
