@@ -108,7 +108,7 @@ SQL = {
     "descriptors_raw": DESCRIPTORS + " SELECT id, " + ", ".join(f"round({c}, 6) AS {c}" for c in COLUMNS) + " FROM raw",
     "descriptors_z": DESCRIPTORS + ", m AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) < 1e-6 THEN 1 ELSE stddev_pop({c}) END AS s_{c}" for c in COLUMNS) + " FROM raw WHERE win = 'fit') SELECT id, " + ", ".join(f"round(({c} - m_{c}) / s_{c}, 5) AS {c}" for c in COLUMNS) + " FROM raw CROSS JOIN m",
     "audit_checks": "SELECT 'no_self_loops' AS check_id, (SELECT count(*) FROM edges WHERE src = tgt) = 0 AS ok UNION ALL SELECT 'no_duplicate_edges', (SELECT count(*) FROM edges) = (SELECT count(*) FROM (SELECT DISTINCT src, tgt FROM edges) x) UNION ALL SELECT 'windows_exhaustive', (SELECT count(*) FROM win) = (SELECT count(*) FROM nodes) UNION ALL SELECT 'fit_before_val', (SELECT max(d) FROM win WHERE win = 'fit') <= (SELECT min(d) FROM win WHERE win = 'val') UNION ALL SELECT 'val_before_test', (SELECT max(d) FROM win WHERE win = 'val') <= (SELECT min(d) FROM win WHERE win = 'test') UNION ALL SELECT 'ends_are_nodes', (SELECT count(*) FROM edges e LEFT JOIN nodes n ON n.id = e.tgt WHERE n.id IS NULL) = 0",
-    "bootstrap_ci": RUNS + ", o AS (SELECT diff, row_number() OVER (ORDER BY dataset, model, seed) - 1 AS i, count(*) OVER () AS n FROM delta), b AS (SELECT r.b, o.i, o.n FROM o, UNNEST(RANGE1(200)) AS r(b)), x AS (SELECT b.b, avg(p.diff) AS m FROM b JOIN o p ON p.i = (b.b * 7919 + b.i * 104729 + b.b * b.i * 31) % b.n GROUP BY 1) SELECT round(PCT(m, 25e-3), 9) + 0e0 AS low, round(PCT(m, 975e-3), 9) + 0e0 AS high FROM x",
+    "bootstrap_ci": RUNS + ", o AS (SELECT diff, row_number() OVER (ORDER BY dataset, model, seed) - 1 AS i, count(*) OVER () AS n FROM delta), b AS (SELECT r.b, o.i, o.n FROM o, UNNEST(RANGE1(10000)) AS r(b)), x AS (SELECT b.b, avg(p.diff) AS m FROM b JOIN o p ON p.i = CAST(HEX(substr(md5(concat(CAST(b.b AS VARCHAR(20)), ':', CAST(b.i AS VARCHAR(20)))), 1, 15)HEXEND AS BIGINT) % b.n GROUP BY 1) SELECT round(PCT(m, 25e-3), 9) + 0e0 AS low, round(PCT(m, 975e-3), 9) + 0e0 AS high FROM x",
 }
 
 

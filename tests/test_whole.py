@@ -1,5 +1,7 @@
 """Queries do the whole job: every source, step, term and resample."""
 
+import hashlib
+
 import duckdb
 import numpy as np
 import pytest
@@ -62,3 +64,11 @@ def test_walks_and_singular_values_are_whole(spark, duck):
     d = a.sum(1)
     values = np.linalg.svd(a / np.sqrt(np.outer(d, d)), compute_uv=False)[:128]
     assert np.allclose([r.value for r in scans.singular_values(spark, SF).orderBy("k").collect()], values, atol=2e-3)
+
+
+def test_bootstrap_has_ten_thousand_hashed_resamples(spark, duck):
+    x = np.array([r[0] for r in duck.execute(registry._duck(registry.RUNS + " SELECT diff FROM delta ORDER BY dataset, model, seed")).fetchall()])
+    at = [[int(hashlib.md5(f"{b}:{i}".encode()).hexdigest()[:15], 16) % len(x) for i in range(len(x))] for b in range(1, 10_001)]
+    want = np.percentile(x[np.array(at)].mean(axis=1), [2.5, 97.5])
+    got = registry.QUERIES["bootstrap_ci"](spark, SF).first()
+    assert np.allclose([got.low, got.high], want, atol=2e-9)
