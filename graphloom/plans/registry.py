@@ -41,17 +41,24 @@ SCORES = {
     **{k: f"SELECT a.src, b.tgt AS id, round(sum({w}), 9) AS score FROM und a JOIN und b ON a.tgt = b.src JOIN und_deg g ON g.src = a.tgt JOIN asks q ON q.src = a.src WHERE a.src <> b.tgt GROUP BY 1, 2" for k, w in {"common_neighbors": "CAST(1 AS DOUBLE)", "adamic_adar": "CASE WHEN deg > 1 THEN 1 / ln(deg) ELSE 0 END", "resource_allocation": "CAST(1 AS DOUBLE) / deg"}.items()},
 }
 SEED = 101
-DESCRIPTORS = """dout AS (SELECT src AS id, count(*) AS k FROM edges GROUP BY 1), din AS (SELECT tgt AS id, count(*) AS k FROM edges GROUP BY 1),
+#: From edges of the fit window's sources alone; features of a part are the TF-IDF terms of its name, brand and type.
+DESCRIPTORS = """fe AS (SELECT e.src, e.tgt FROM edges e JOIN win w ON w.id = e.src WHERE w.win = 'fit'),
+ptok AS (SELECT p_partkey AS id, t.w AS term FROM part, UNNEST(regexp_extract_all(lower(concat(p_name, ' ', p_brand, ' ', p_type)), '[a-z][a-z0-9_+#.-]*', 0)) AS t(w)),
+ptf AS (SELECT id, term, 1 + ln(count(*)) AS tf FROM ptok GROUP BY 1, 2), pdf AS (SELECT term, ln((1 + (SELECT count(*) FROM part)) / (1 + count(*))) + 1 AS idf FROM ptf GROUP BY 1),
+px AS (SELECT id, ptf.term, tf * idf AS x FROM ptf JOIN pdf ON pdf.term = ptf.term), pn AS (SELECT id, sqrt(sum(x * x)) + 1e-8 AS norm FROM px GROUP BY 1), feat AS (SELECT px.id, term, x / norm AS x FROM px JOIN pn ON pn.id = px.id),
+sim AS (SELECT f.src, f.tgt, sum(a.x * b.x) AS c FROM fe f JOIN feat a ON a.id = f.src JOIN feat b ON b.id = f.tgt AND b.term = a.term GROUP BY 1, 2),
+cin AS (SELECT tgt AS id, sum(c) AS c FROM sim GROUP BY 1), cout AS (SELECT src AS id, sum(c) AS c FROM sim GROUP BY 1),
+dout AS (SELECT src AS id, count(*) AS k FROM fe GROUP BY 1), din AS (SELECT tgt AS id, count(*) AS k FROM fe GROUP BY 1),
 cutoff AS (SELECT min(DAYS(d)) AS c FROM win WHERE id = (SELECT min(id) FROM win WHERE win = 'test')),
-aged AS (SELECT e.src, e.tgt, DAYS(a.d) AS ds, ln(1 + greatest(DAYS(a.d) - DAYS(b.d), 0)) AS age FROM edges e JOIN win a ON a.id = e.src JOIN win b ON b.id = e.tgt),
-nin AS (SELECT e.tgt AS id, avg(coalesce(o.k, 0)) AS x FROM edges e LEFT JOIN dout o ON o.id = e.src GROUP BY 1),
-nout AS (SELECT e.src AS id, avg(coalesce(i.k, 0)) AS x FROM edges e LEFT JOIN din i ON i.id = e.tgt GROUP BY 1),
-rec AS (SELECT a.src AS id, count(*) AS k FROM edges a JOIN edges b ON a.src = b.tgt AND a.tgt = b.src GROUP BY 1),
+aged AS (SELECT e.src, e.tgt, DAYS(a.d) AS ds, ln(1 + greatest(DAYS(a.d) - DAYS(b.d), 0)) AS age FROM fe e JOIN win a ON a.id = e.src JOIN win b ON b.id = e.tgt),
+nin AS (SELECT e.tgt AS id, avg(coalesce(o.k, 0)) AS x FROM fe e LEFT JOIN dout o ON o.id = e.src GROUP BY 1),
+nout AS (SELECT e.src AS id, avg(coalesce(i.k, 0)) AS x FROM fe e LEFT JOIN din i ON i.id = e.tgt GROUP BY 1),
+rec AS (SELECT a.src AS id, count(*) AS k FROM fe a JOIN fe b ON a.src = b.tgt AND a.tgt = b.src GROUP BY 1),
 rin AS (SELECT tgt AS id, count(*) AS k FROM aged, cutoff WHERE ds >= c - 730 GROUP BY 1), rout AS (SELECT src AS id, count(*) AS k FROM aged, cutoff WHERE ds >= c - 730 GROUP BY 1),
 cit AS (SELECT src AS id, avg(age) AS x FROM aged GROUP BY 1),
-raw AS (SELECT w.id, w.win, ln(1 + coalesce(din.k, 0)) AS in_degree, ln(1 + coalesce(dout.k, 0)) AS out_degree, ln(1 + coalesce(nin.x, 0)) AS nn_in, ln(1 + coalesce(nout.x, 0)) AS nn_out, coalesce(rec.k, 0) / greatest(coalesce(dout.k, 0), 1) AS recip_out, CAST(coalesce(din.k, 0) + coalesce(dout.k, 0) > 0 AS INT) AS has_edge, ln(1 + coalesce(rin.k, 0)) AS recent_in, ln(1 + coalesce(rout.k, 0)) AS recent_out, coalesce(rin.k, 0) / greatest(coalesce(din.k, 0), 1) AS recent_in_share, coalesce(cit.x, 0) AS cit_age, ln(1 + greatest(c - DAYS(w.d), 0)) AS node_recency
- FROM win w CROSS JOIN cutoff LEFT JOIN din ON din.id = w.id LEFT JOIN dout ON dout.id = w.id LEFT JOIN nin ON nin.id = w.id LEFT JOIN nout ON nout.id = w.id LEFT JOIN rec ON rec.id = w.id LEFT JOIN rin ON rin.id = w.id LEFT JOIN rout ON rout.id = w.id LEFT JOIN cit ON cit.id = w.id)"""
-COLUMNS = "in_degree out_degree nn_in nn_out recip_out has_edge recent_in recent_out recent_in_share cit_age node_recency".split()
+raw AS (SELECT w.id, w.win, ln(1 + coalesce(din.k, 0)) AS in_degree, ln(1 + coalesce(dout.k, 0)) AS out_degree, ln(1 + coalesce(nin.x, 0)) AS nn_in, ln(1 + coalesce(nout.x, 0)) AS nn_out, coalesce(cin.c, 0) / greatest(coalesce(din.k, 0), 1) AS cos_in, coalesce(cout.c, 0) / greatest(coalesce(dout.k, 0), 1) AS cos_out, coalesce(rec.k, 0) / greatest(coalesce(dout.k, 0), 1) AS recip_out, CAST(coalesce(din.k, 0) + coalesce(dout.k, 0) > 0 AS INT) AS has_edge, ln(1 + coalesce(rin.k, 0)) AS recent_in, ln(1 + coalesce(rout.k, 0)) AS recent_out, coalesce(rin.k, 0) / greatest(coalesce(din.k, 0), 1) AS recent_in_share, coalesce(cit.x, 0) AS cit_age, ln(1 + greatest(cutoff.c - DAYS(w.d), 0)) AS node_recency
+ FROM win w CROSS JOIN cutoff LEFT JOIN cin ON cin.id = w.id LEFT JOIN cout ON cout.id = w.id LEFT JOIN din ON din.id = w.id LEFT JOIN dout ON dout.id = w.id LEFT JOIN nin ON nin.id = w.id LEFT JOIN nout ON nout.id = w.id LEFT JOIN rec ON rec.id = w.id LEFT JOIN rin ON rin.id = w.id LEFT JOIN rout ON rout.id = w.id LEFT JOIN cit ON cit.id = w.id)"""
+COLUMNS = "in_degree out_degree nn_in nn_out cos_in cos_out recip_out has_edge recent_in recent_out recent_in_share cit_age node_recency".split()
 TOKENS = "tok AS (SELECT doc_id, t.w AS term FROM documents, UNNEST(regexp_extract_all(lower(text), '[a-z][a-z0-9_+#.-]*', 0)) AS t(w))"
 #: Draws of fit nodes for every fit source with k positives, of which the first 10 k that aren't positives are its negatives. Fit nodes have
 #: the places 1 to n. Where 40 k < n, places are drawn by hash and repeats dropped, else all places are put in the order of a hash: a source

@@ -1,6 +1,9 @@
 """Queries do the whole job: every source, step, term and resample."""
 
 import hashlib
+import math
+import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -72,3 +75,18 @@ def test_bootstrap_has_ten_thousand_hashed_resamples(spark, duck):
     want = np.percentile(x[np.array(at)].mean(axis=1), [2.5, 97.5])
     got = registry.QUERIES["bootstrap_ci"](spark, SF).first()
     assert np.allclose([got.low, got.high], want, atol=2e-9)
+
+
+def test_descriptors_have_cosines_and_fit_edges_only(spark, duck):
+    fit = _graph(duck, "SELECT e.src, e.tgt FROM edges e JOIN win w ON w.id = e.src WHERE w.win = 'fit'")
+    words = {i: Counter(re.findall(r"[a-z][a-z0-9_+#.-]*", t.lower())) for i, t in duck.execute("SELECT p_partkey, concat(p_name, ' ', p_brand, ' ', p_type) FROM part").fetchall()}
+    df = Counter(w for c in words.values() for w in c)
+    vector = {i: {w: (1 + math.log(n)) * (math.log((1 + len(words)) / (1 + df[w])) + 1) for w, n in c.items()} for i, c in words.items()}
+    norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vector.items()}
+    cos = lambda a, b: sum(x * vector[b].get(w, 0) for w, x in vector[a].items()) / norm[a] / norm[b]
+    rows = registry.QUERIES["descriptors_raw"](spark, SF).collect()
+    assert len(rows[0]) == 14
+    for r in rows:
+        into, out = ([cos(s, t) for s, t in fit if (t, s)[k] == r.id] for k in (0, 1))
+        assert abs(r.in_degree - math.log(1 + len(into))) < 2e-6 and abs(r.out_degree - math.log(1 + len(out))) < 2e-6
+        assert abs(r.cos_in - sum(into) / max(len(into), 1)) < 2e-6 and abs(r.cos_out - sum(out) / max(len(out), 1)) < 2e-6
