@@ -1,7 +1,9 @@
 """Benchmark passages in documents, by q-gram lemma filtering and banded alignment.
 
 Texts are reduced to their letters and digits in lower case, so that spacing and punctuation
-don't count. An item is cut into windows of at most WINDOW characters that overlap by half. A
+don't count. An item is cut into windows of at most WINDOW characters that overlap by half, which
+find it as a whole with its edits, and into windows of PASSAGE characters every STRIDE, so that every
+copied passage of PASSAGE + STRIDE - 1 of its letters holds a whole window. A
 region within e edits of a window of m characters shares at least m + 1 - q (e + 1) of its
 q-grams with it, on diagonals that lie within e of each other, so shared q-grams are counted in
 overlapping bands of diagonals; bands that reach the bound are aligned within the band, and
@@ -23,6 +25,8 @@ from .scratch import cut, ship, without
 from .textops import U, mix
 
 Q, WINDOW, RATE = 12, 160, 0.05
+#: Letters of the short windows, and between their starts: a passage of 79 letters of an item is always found.
+PASSAGE, STRIDE = 60, 20
 #: Characters of benchmark text held at a time; a larger benchmark takes more passes over the documents.
 BLOCK = 4_000_000
 #: Characters of documents looked at together.
@@ -68,9 +72,9 @@ class Index:
         g, w, p = [], [], []
         for item, text in items:
             c, _ = letters(text or "")
-            last = max(0, len(c) - WINDOW)
-            for start in [*range(0, last, WINDOW // 2), last]:
-                part = c[start : start + WINDOW]
+            places = {(start, min(len(c), start + size)) for size, step in ((WINDOW, WINDOW // 2), (PASSAGE, STRIDE)) for start in [*range(0, len(c) - size, step), max(0, len(c) - size)]}
+            for start, end in sorted(places):
+                part = c[start:end]
                 if len(part) < Q:
                     continue
                 e = int(RATE * len(part))

@@ -1,6 +1,8 @@
 """Operators take whole documents, whole licences and partial passages."""
 
-from graphloom.llm import pii
+import random
+
+from graphloom.llm import decontam, pii
 from graphloom.llm.licenses import FULL, TEMPLATES, Templates, license_scan
 
 
@@ -23,3 +25,13 @@ def test_full_licence_texts_are_files_and_all_licences_are_given(spark):
     assert t.scan(both, "a/COPYING")[1:] == ("Apache-2.0 AND MIT", "file")
     rows = spark.createDataFrame([(1, "a/LICENSE.txt", FULL["MIT"]), (2, "a/b/x.py", "nothing to see"), (3, "c/y.py", "int x;")], "id long, path string, text string")
     assert {r.id: (r.license, r.how) for r in license_scan(rows).collect()} == {1: ("MIT", "file"), 2: ("MIT", "inherited"), 3: ("", "none")}
+
+
+def test_partial_passages_are_found_from_the_stated_length_on(spark):
+    rnd = random.Random(5)
+    say = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    length = decontam.PASSAGE + decontam.STRIDE - 1
+    items = [(0, say(130)), (1, say(300))]
+    docs = [(1000 * i + at, say(50) + t[at : at + length] + say(50)) for i, t in items for at in range(len(t) - length + 1)]
+    got = decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, d // 1000) for d, _ in docs}
