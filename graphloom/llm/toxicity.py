@@ -5,7 +5,8 @@ centred on the rate of the shorter one, down to the rate of the class. A token s
 log-odds less Z standard errors where that is at least FLOOR, and a constant below zero elsewhere.
 A linear scan finds all maximal segments (Ruzzo and Tompa); their scores are made comparable by
 a fitted extreme-value tail, summed over the text, and turned into a probability by isotonic
-regression on labelled documents, each scored without its own part in the counts.
+regression on labelled documents, each scored without its own part in the counts. That is for the curve alone:
+what is given out is scored by one model that sees the text and nothing else, so equal texts score the same.
 """
 
 from __future__ import annotations
@@ -73,16 +74,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[0, at], docs[0])), pa.array(np.append(total[1, at], docs[1]))], ["bucket", "clean", "toxic"])
 
 
-def token_scores(feats: np.ndarray, clean: np.ndarray, toxic: np.ndarray, base: float, own: np.ndarray) -> np.ndarray:
-    """Scores of tokens; own: 1 or 0 where the token's document was counted as toxic or clean, else -1."""
+def token_scores(feats: np.ndarray, clean: np.ndarray, toxic: np.ndarray, base: float, own: np.ndarray | None = None) -> np.ndarray:
+    """Scores of tokens; own: for the curve's fit, 1 or 0 as the token's document was counted as toxic or clean, to be left out."""
     p = np.full(feats.shape[1], base)
-    lead = p
     for row in feats:
-        t, c = np.maximum(toxic[row] - (own == 1), 0), np.maximum(clean[row] - (own == 0), 0)
-        lead = p
-        p = (t + ALPHA * lead) / (t + c + ALPHA)
+        t, c = toxic[row], clean[row]
+        if own is not None:
+            t, c = np.maximum(t - (own == 1), 0), np.maximum(c - (own == 0), 0)
+        p = (t + ALPHA * p) / (t + c + ALPHA)
     odds = np.log(p / (1 - p)) - np.log(base / (1 - base))
-    err = np.sqrt(1 / (t + ALPHA * lead) + 1 / (c + ALPHA * (1 - lead)))
+    err = np.sqrt(1 / (t + ALPHA * base) + 1 / (c + ALPHA * (1 - base)))  # pseudo-counts of the class rate: a form that one class alone has keeps a finite error
     s = odds - Z * err
     return np.where(s >= FLOOR, s, OTHER)
 
@@ -106,15 +107,17 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, float(r - x)) for a, b, x, r in held]
 
 
-def _scan(model):
+def _scan(model, fit: bool):
+    """Segments of texts; with ``fit`` each without its own part in the counts, and with its label."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clean, toxic, base = model.value
         for b in batches:
             n, found = [], []
-            label = b.column("toxic").fill_null(-1).to_numpy()
+            label = b.column("toxic").to_numpy() if fit else None
             for first, part in chunks(_norm(b)):
                 doc, feats = _features(part)
-                score = token_scores(feats, clean, toxic, base, label[first + doc])
+                score = token_scores(feats, clean, toxic, base, label[first + doc] if fit else None)
                 ends = np.searchsorted(doc, np.arange(1, len(part) + 1))
                 at = 0
                 for e in ends.tolist():
@@ -122,7 +125,8 @@ def _scan(model):
                     found.append([{"start": x, "end": y, "score": s} for x, y, s in segments(score[at:e])])
                     at = e
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(found, kind)], ["doc_id", "n_tokens", "segments"])
+            name = "toxic" if fit else "doc_id"
+            yield pa.RecordBatch.from_arrays([b.column(name), pa.array(n, pa.int64()), pa.array(found, kind)], [name, "n_tokens", "segments"])
 
     return run
 
@@ -166,9 +170,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = rows["bucket"][own].astype(np.int64)
     clean[at], toxic[at] = rows["clean"][own], rows["toxic"][own]
     model = spark.sparkContext.broadcast((clean, toxic, base))
-    found = cut(docs.join(sample, "doc_id", "left").mapInArrow(_scan(model), "doc_id long, n_tokens long, segments array<struct<start:long,end:long,score:double>>"), "segments")[0]
+    kind = "n_tokens long, segments array<struct<start:long,end:long,score:double>>"
+    fit = cut(docs.join(sample, "doc_id").select("text", "toxic").mapInArrow(_scan(model, True), f"toxic int, {kind}"), "fit")[0]
 
-    calm = found.join(sample.where("toxic = 0"), "doc_id")
+    calm = fit.where("toxic = 0")
     tail = calm.select("n_tokens", F.filter("segments", lambda s: s["score"] >= TAIL).alias("s")).select(F.sum("n_tokens"), F.sum(F.size("s")), F.sum(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["score"] - TAIL))).first()
     tokens, number, over = (float(x or 0) for x in tail)
     rate = (number + 1) / (over + 1)  # of the exponential tail
@@ -176,10 +181,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     worth = lambda x: F.greatest(F.lit(0.0), rate * x["score"] - often - F.log(F.col("n_tokens")))
     stat = F.aggregate("segments", F.lit(0.0), lambda a, x: a + worth(x))
     bin_ = F.least(F.lit(BINS - 1), F.when(F.size("segments") == 0, 0).otherwise(1 + F.floor(stat / WIDTH)).cast("int"))
-    found = found.withColumn("bin", bin_)
-    bins = found.join(sample, "doc_id").groupBy("bin").agg(F.sum(1 - F.col("toxic")), F.sum("toxic")).collect()
+    bins = fit.groupBy(bin_.alias("bin")).agg(F.sum(1 - F.col("toxic")), F.sum("toxic")).collect()
     curve = F.array(*(F.lit(float(p)) for p in isotonic([tuple(r) for r in bins], base)))
-    out = found.withColumn("score", F.get(curve, F.col("bin")))
+    found = docs.mapInArrow(_scan(model, False), f"doc_id long, {kind}")
+    out = found.withColumn("bin", bin_).withColumn("score", F.get(curve, F.col("bin")))
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_tokens", "segments")
 
 
