@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text hashed at a time, so that memory doesn't follow the length of a text.
@@ -15,6 +16,17 @@ LOWER = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in ra
 ALNUM = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER)
 
 
+#: Rows of an Arrow batch whose texts are unpacked together.
+ROWS = 500
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in parts of ROWS at most."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser after splitmix64."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
