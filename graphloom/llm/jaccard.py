@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import bitmap, bitmap_slot, cut, has, numbers, remove, without
-from .textops import U, mix, shingles
+from .textops import U, mix, shingles, slices
 
 #: Ratio of the largest to the smallest size of a band; differences in a range, parts of a range; ranges to spare, as a share.
 BAND, K2, N2, SPARE = 1.5, 1, 3, 0.2
@@ -103,7 +103,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
 
 def _summary(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n, h1, h2 = [], [], []
             for s in shingles(_texts(b), k):
                 n.append(len(s))
@@ -118,7 +118,7 @@ def _of(k: int, bits, make):
     """For documents in the bitmap: what ``make`` gives for their ids and sets, in batches of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             keep = np.flatnonzero(has(bits.value, b.column("slot").to_numpy()))
             b = b.take(pa.array(keep))
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)

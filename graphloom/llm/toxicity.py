@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import cut, numbers, ship, without
-from .textops import ALNUM, U, chunks, mix, words
+from .textops import ALNUM, U, chunks, mix, slices, words
 
 #: Buckets of hashed features, and labelled rows that are learnt from at most (the least by CRC-32).
 BUCKETS, SAMPLE = 1 << 20, 200_000
@@ -59,7 +59,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each class that have a feature, by bucket; bucket -1 has the documents."""
     total = np.zeros((2, BUCKETS), np.int64)
     docs = [0, 0]
-    for b in batches:
+    for b in slices(batches):
         toxic = b.column("toxic").to_numpy(zero_copy_only=False)
         for at, part in chunks(_norm(b)):
             doc, feats = _features(part)
@@ -112,7 +112,7 @@ def _scan(model, fit: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clean, toxic, base = model.value
-        for b in batches:
+        for b in slices(batches):
             n, found = [], []
             label = b.column("toxic").to_numpy() if fit else None
             for first, part in chunks(_norm(b)):
