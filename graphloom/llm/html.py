@@ -13,8 +13,10 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +52,19 @@ class Node:
 def parse(page: str) -> list[Node]:
     """Block nodes of a page in document order; each has its own runs of text, with their place."""
     root = Node("html", "", None)
-    nodes, at, open_inline, place = [root], root, [], 0
-    tokens = _TOKEN.finditer(page)
-    for m in tokens:
-        t = m.group()
+    nodes, at, open_inline, place, pos = [root], root, [], 0, 0
+    held: Counter[str] = Counter()  # open blocks by name
+
+    def close(up: Node) -> Node:
+        """Close all blocks up to ``up``; its parent is what stays open."""
+        x = at
+        while x is not up.parent:
+            held[x.tag] -= 1
+            x = x.parent
+        return x
+
+    while m := _TOKEN.match(page, pos):
+        t, pos = m.group(), m.end()
         if t[0] != "<" or len(t) == 1:
             place += 1
             at.texts.append((place, t, "a" in open_inline))
@@ -70,29 +81,15 @@ def parse(page: str) -> list[Node]:
                 if tag in open_inline:
                     del open_inline[len(open_inline) - 1 - open_inline[::-1].index(tag) :]
                 continue
-            up = at
-            while up.parent and up.tag != tag:
-                up = up.parent
-            if up.parent:
-                at, open_inline = up.parent, []
+            if held[tag]:
+                up = at
+                while up.tag != tag:
+                    up = up.parent
+                at, open_inline = close(up), []
             continue
         if tag in RAW:  # its content is no markup
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, m.end())
-            stop = end.end() if end else len(page)
-            for m in tokens:
-                if m.end() >= stop:
-                    break
-            if m.end() > stop:  # a token that runs over the end is read again
-                rest = parse(page[stop:]) if page[stop:].strip() else []
-                for x in rest[1:] if rest else []:
-                    if x.parent is rest[0]:
-                        x.parent = at
-                        at.kids.append(x)
-                    x.texts = [(place + p, s, a) for p, s, a in x.texts]
-                    nodes.append(x)
-                if rest:
-                    at.texts += [(place + p, s, a) for p, s, a in rest[0].texts]
-                return nodes
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, pos)
+            pos = end.end() if end else len(page)
             continue
         if tag in INLINE:
             if tag == "br":
@@ -104,12 +101,12 @@ def parse(page: str) -> list[Node]:
             continue
         if tag in ("html", "body") and (tag == "html" or any(x.tag == "body" for x in nodes[:8])):
             continue
-        if tag in CLOSES_P or tag == "li":
+        if (tag in CLOSES_P or tag == "li") and held["p"] + held["li"]:
             up = at
             while up.parent and up.tag not in ("p", "li") and up.tag not in CLOSES_P:
                 up = up.parent
             if up.parent and (up.tag == "p" and tag != "li" or up.tag == tag == "li"):
-                at = up.parent
+                at = close(up)
         open_inline = []
         at_attrs = " ".join(x for g in _ATTR.findall(t) for x in g if x).lower() if "=" in t else ""
         new = Node(tag, at_attrs, at)
@@ -117,6 +114,7 @@ def parse(page: str) -> list[Node]:
         at.kids.append(new)
         if tag not in VOID:
             at = new
+            held[tag] += 1
     return nodes
 
 
@@ -269,37 +267,12 @@ def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
 
 def text_of(nodes: list[Node], on: np.ndarray) -> str:
     """Blocks of the nodes that are in, in page order: a node's text up to its next child is one block."""
-    runs: list[tuple[int, str]] = []
-    for x in nodes:
-        if not on[x.order] or not x.texts:
-            continue
-        borders = sorted(min((p for p, _, _ in y.texts), default=0) for y in _below(x)) if x.kids else []
-        held: list[str] = []
-        first, b = 0, 0
-        for p, s, _ in x.texts:
-            while b < len(borders) and borders[b] < p:
-                if held:
-                    runs.append((first, "".join(held)))
-                    held = []
-                b += 1
-            if not held:
-                first = p
-            held.append(s)
-        runs.append((first, "".join(held)))
-    runs.sort(key=lambda r: r[0])
-    blocks = (_SPACE.sub(" ", entities.unescape(s)).strip(" ") for _, s in runs)
+    texts = sorted((p, x.order, s) for x in nodes for p, s, _ in x.texts)  # what stands between two texts of a node is below it
+    runs = ("".join(s for _, _, s in run) for k, run in groupby(texts, key=lambda t: t[1]) if on[k])
+    blocks = (_SPACE.sub(" ", entities.unescape(s)).strip(" ") for s in runs)
     return "\n\n".join(b for b in blocks if b)
 
 
-def _below(x: Node) -> Iterator[Node]:
-    stack = list(x.kids)
-    while stack:
-        y = stack.pop()
-        if y.texts:
-            yield y
-        stack += y.kids
-
-
 def extract(pages: list[str], trees: Trees) -> list[str]:
     parsed = [parse(p) for p in pages]
     if not parsed:
