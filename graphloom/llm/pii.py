@@ -88,7 +88,12 @@ def written(of: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Distinct terms of a text outside of e-mail addresses, the only base spans that hold letters."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace(text, PATTERNS["email"], " ")), F.lit(TERM), F.lit(0)))
+    return lowered(F.regexp_replace(text, PATTERNS["email"], " "))
+
+
+def lowered(text: Column) -> Column:
+    """Distinct terms of a text: found in it as it stands, and then lowered one by one."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
 def disclosed_terms(found: DataFrame) -> DataFrame:
@@ -128,8 +133,8 @@ def personal_data(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     number = terms.count()
     if not number:
         return found.withColumn("terms", none)
-    own = F.transform(F.filter(spans(F.lower("text"), "term", TERM, lambda v: F.lit(True), F.lit(True)), lambda s: F.array_contains(F.col("own"), s["value"])), lambda s: s)
-    mine = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    own = F.filter(spans(F.col("text"), "term", TERM, lambda v: F.lit(True), F.lit(True)), lambda s: F.array_contains(F.col("own"), F.lower(s["value"])))
+    mine = lowered(F.col("text"))
     if number <= LIST:
         told = F.array(*(F.lit(r.term) for r in terms.collect()))
         found = found.withColumn("own", F.array_intersect(mine, told))
