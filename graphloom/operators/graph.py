@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from math import gcd
 
@@ -28,13 +29,18 @@ def part_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes, a.join(b, ["l_orderkey", "k"]).where("src <> tgt").select("src", "tgt").distinct())
 
 
-def placed(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with rn (1 for the first by date, then id) and n, without gathering them in one task."""
+def placed(nodes: DataFrame, more: Callable[[Column], dict[str, Column]] = lambda n: {}) -> DataFrame:
+    """``nodes`` with rn (1 for the first by date, then id) and n, without gathering them in one task.
+
+    more: further columns that follow from n, worked out once a day rather than once a node.
+    """
     days = nodes.groupBy("d").agg(F.count("*").alias("k"))
     before = F.coalesce(F.sum("k").over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     days = days.select("d", before.alias("before"), F.sum("k").over(Window.partitionBy()).alias("n"))  # a row for each day
+    own = more(F.col("n"))
+    days = days.withColumns(own) if own else days
     inside = F.row_number().over(Window.partitionBy("d").orderBy("id"))
-    return nodes.withColumn("i", inside).join(F.broadcast(days), "d").select("id", "d", (F.col("before") + F.col("i")).alias("rn"), "n")
+    return nodes.withColumn("i", inside).join(F.broadcast(days), "d").select("id", "d", (F.col("before") + F.col("i")).alias("rn"), "n", *own)
 
 
 def split_sizes(n: Column, seed: Column) -> tuple[Column, Column]:
@@ -59,8 +65,8 @@ def offset(n: int, seed: int) -> tuple[int, int]:
 
 def windows(graph: Graph, seed: int = 101) -> DataFrame:
     """id, d, rn, n and win: 'test' for the newest nodes, 'val' for those before, else 'fit'."""
-    p = placed(graph.nodes)
-    test, val = split_sizes(F.col("n"), F.lit(seed).cast("bigint"))
+    p = placed(graph.nodes, lambda n: dict(zip(("test", "val"), split_sizes(n, F.lit(seed).cast("bigint")), strict=True)))
+    test, val = F.col("test"), F.col("val")
     win = F.when(F.col("rn") > F.col("n") - test, "test").when(F.col("rn") > F.col("n") - test - val, "val").otherwise("fit")
     return p.select("id", "d", F.col("rn").cast("bigint").alias("rn"), F.col("n").cast("bigint").alias("n"), win.alias("win"))
 
