@@ -21,7 +21,7 @@ from .scratch import ship
 
 MARK = "▁"
 #: Chunks, and characters of them and their ids, that a worker remembers in each of two generations.
-TABLE, HELD = 150_000, 6_000_000
+TABLE, HELD = 240_000, 10_000_000
 #: Characters of texts whose chunks are looked up together.
 GROUP = 2_000_000
 _RUNS = re.compile(" +[^ ]*")
