@@ -5,8 +5,10 @@ with other projections and shifts. Each order is range-partitioned into tiles; a
 the vectors of its own tile and of the tiles next to it, keeps the nearest by exact cosine, and
 the tiles' results are merged. Equal vectors are one point, carrying its least ids.
 
-How many tiles on either side are taken is measured: the true neighbours of PROBES queries are
-found by brute force, and the windows are made as wide as it takes to hold TARGET of them.
+How many tiles on either side are taken is measured: the true neighbours of PROBES vectors, none of
+them a query where enough others are at hand, are found by brute force, and the windows are made as
+wide as it takes to hold TARGET of them. Tiles carry vectors in half precision, which choose twice
+as many candidates as are asked for; scores come from the original vectors.
 """
 
 from __future__ import annotations
@@ -16,14 +18,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import cut, ship
 
-CURVES, DIMS, DEPTH, SEED = 24, 6, 8, 11
-#: Rows of a tile at most, and tiles of a curve at least; queries probed, and the share of their neighbours to be held.
-TILE, TILES, PROBES, TARGET = 16_384, 12, 128, 0.96
+CURVES, DIMS, DEPTH, SEED = 48, 8, 7, 11
+#: Rows of a range of keys at most, and ranges of a curve at least; vectors probed, and the share of their neighbours to be held.
+TILE, TILES, PROBES, TARGET = 16_384, 4, 256, 0.95
+#: Tiles that a range is cut into at most, and rows of such a tile at least; tiles of a block, which one call handles; scores nearer than TIED are ties when candidates are chosen.
+FINE, LEAST, BLOCK, TIED = 96, 16, 32, 1e-6
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -91,26 +96,48 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x = np.clip((u @ p) * np.sqrt(dim) / 8 + 0.25 + shift, 0, 1 - 1e-9)
                 key = hilbert((x * (1 << DEPTH)).astype(np.int64), DEPTH)
                 n = len(key)
-                yield pa.RecordBatch.from_arrays([part.column("p"), pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, c, np.int32)), pa.array(key), part.column("v"), part.column("asks")], ["p", "dim", "curve", "key", "v", "asks"])
+                yield pa.RecordBatch.from_arrays([part.column("p"), pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, c, np.int32)), pa.array(key), pa.array([x.tobytes() for x in u.astype(np.float16)], pa.binary()), part.column("asks")], ["p", "dim", "curve", "key", "v", "asks"])
 
 
-def _near(k: int):
-    """Of a tile: the k nearest points to each of its queries, by the point's own curve."""
+def _finer(tiles: int):
+    """Rows of a sorted range of keys, with the tile of each: ``tiles`` stretches of equal size, numbered over all ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = [b for b in batches if b.num_rows]  # TILE rows or so
+        n, at, first = sum(b.num_rows for b in whole), 0, TaskContext.get().partitionId() * tiles
+        for b in whole:
+            tile = first + (at + np.arange(b.num_rows)) * tiles // n
+            at += b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tile, pa.int64())], [*b.schema.names, "tile"])
+
+    return run
+
+
+def _near(k: int, wide: int):
+    """Of a block of tiles: the 2 k + 2 nearest points to each query, by the point's own curve, among tiles ``wide`` away at most."""
+
+    keep = 2 * k + 2
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, g in pdf.groupby(["dim", "curve"]):
+        for _, g in pdf.sort_values(["tile", "p"]).groupby(["dim", "curve"]):
             data, ask = g[~g["query"]], g[g["query"]]
             if not len(data) or not len(ask):
                 continue
-            d, a = _unit(list(data["v"])), _unit(list(ask["v"]))
-            ids = data["p"].to_numpy()
-            for at in range(0, len(a), 256):
-                s = a[at : at + 256] @ d.T
-                top = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, : k + 1]
-                for r in range(len(s)):
-                    t = top[r]
-                    out.append((np.full(len(t), ask["p"].iloc[at + r]), ids[t], s[r, t]))
+            d, a = (np.stack([np.frombuffer(v, np.float16).astype(np.float32) for v in x["v"]]) for x in (data, ask))
+            ids, at, own, tile = data["p"].to_numpy(), data["tile"].to_numpy(), ask["p"].to_numpy(), ask["tile"].to_numpy()
+            for t in np.unique(tile):
+                low, high = np.searchsorted(at, [t - wide, t + wide + 1])
+                some = np.flatnonzero(tile == t)
+                if low == high:
+                    continue
+                s, last = a[some] @ d[low:high].T, min(keep, high - low) - 1
+                worst = -np.partition(-s, last, axis=1)[:, last]
+                for r, q in enumerate(own[some]):
+                    more, tied = np.flatnonzero(s[r] >= worst[r] + TIED), np.flatnonzero(np.abs(s[r] - worst[r]) < TIED)
+                    tied = tied[np.argsort(ids[low + tied], kind="stable")[:keep]]
+                    for c in (more, tied):
+                        out.append((np.full(len(c), q), ids[low + c], s[r, c].astype(float)))
         if not out:
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "p": pd.Series(dtype="int64"), "s": pd.Series(dtype="float64")})
         return pd.DataFrame({"q": np.concatenate([x[0] for x in out]), "p": np.concatenate([x[1] for x in out]), "s": np.concatenate([x[2] for x in out])})
@@ -146,13 +173,16 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     n = points.count()
     tiles = max(TILES, -(-n // TILE))
     keyed = points.mapInArrow(_keys, "p long, dim int, curve int, key long, v binary, asks int")
-    tiled = cut(keyed.repartitionByRange(tiles * CURVES, "dim", "curve", "key", "p").withColumn("tile", F.spark_partition_id()), "tiles")[0]
+    ranges = keyed.repartitionByRange(tiles * CURVES, "dim", "curve", "key", "p").sortWithinPartitions("dim", "curve", "key", "p")
+    tiled = cut(ranges.mapInArrow(_finer(min(FINE, max(1, n // (tiles * LEAST)))), "p long, dim int, curve int, key long, v binary, asks int, tile long"), "tiles")[0]
 
-    probes = points.where("asks = 1").orderBy(F.xxhash64("p"), "p").limit(PROBES).select("p", "v").collect()
+    probes = points.orderBy("asks", F.xxhash64("p"), "p").limit(PROBES).select("p", "v").collect()
     wide = _width(points, tiled, [r.p for r in probes], [r.v for r in probes], k)
-    data = tiled.select("tile", "p", "dim", "curve", "v", F.lit(False).alias("query"))
-    query = tiled.where("asks = 1").select(F.explode(F.sequence(F.col("tile") - wide, F.col("tile") + wide)).alias("tile"), "p", "dim", "curve", "v", F.lit(True).alias("query"))
-    near = data.union(query).groupBy("tile").applyInPandas(_near(k), "q long, p long, s double")
+    block = lambda tile: F.floor(tile / BLOCK)
+    data = tiled.select(block(F.col("tile")).alias("block"), "tile", "p", "dim", "curve", "v", F.lit(False).alias("query"))
+    blocks = F.sequence(block(F.col("tile") - wide), block(F.col("tile") + wide))
+    query = tiled.where("asks = 1").select(F.explode(blocks).alias("block"), "tile", "p", "dim", "curve", "v", F.lit(True).alias("query"))
+    near = data.union(query).groupBy("block").applyInPandas(_near(k, wide), "q long, p long, s double")
     best = near.groupBy("q", "p").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "p"))).where(f"r <= {2 * k + 2}")
     pairs = best.select("q", "p").join(points.select(F.col("p").alias("q"), F.col("v").alias("qv")), "q").join(points.select("p", F.col("v").alias("pv")), "p")
     scored = pairs.select("q", "p", "qv", "pv").mapInArrow(_exact, "q long, p long, score double")

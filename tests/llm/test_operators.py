@@ -180,3 +180,12 @@ def test_shards_are_even_gapless_and_mixed(spark, odd):
     big = [sum(src[r.doc_id] == "big" for r in x) for x in n.values()]
     assert max(big) - min(big) <= len(set(src.values()))  # each source's rank is rounded once at a border
     assert sharding.stratified_interleave(odd).count() == len(ODD) and sharding.stratified_interleave(odd.limit(0)).count() == 0
+
+
+def test_scaled_copies_keep_the_smallest_ids(spark):
+    """Forty copies of one direction at other lengths, doubled so that cosines tie: of the nearest, the smallest ids."""
+    rng = np.random.default_rng(2)
+    one = np.round(rng.standard_normal(16) * 8) / 8
+    rows = [(i, [float(x) for x in one * 2.0 ** (i % 20 - 10)]) for i in range(1, 41)] + [(50, [float(x) for x in one])] + [(100 + i, [float(x) for x in rng.standard_normal(16)]) for i in range(60)]
+    got = [r for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect() if r.query_id == 50]
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == [1, 2, 3, 4, 5]
