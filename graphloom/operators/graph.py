@@ -81,12 +81,13 @@ def register(spark: SparkSession, sf_dir: str, seed: int = 101) -> None:
     windows(g, seed).createOrReplaceTempView("win")
 
 
-def rank_sparse(pool: DataFrame, positives: DataFrame, scores: DataFrame) -> DataFrame:
+def rank_sparse(pool: DataFrame, positives: DataFrame, scores: DataFrame, own: bool = False) -> DataFrame:
     """Rank of each positive (src, tgt) among the pool, by score descending and then id.
 
     pool: id; scores: src, id, score > 0 of the pairs that have any; every other pair scores 0.
     A pair with a score is ranked among its source's scored pairs; one without comes after all
     of them, in the order of ids. So the work follows the scored pairs, not sources x pool.
+    own: sources are in the pool themselves; a source is no candidate of its own.
     """
     by = Window.partitionBy("src")
     scored = scores.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "id"))).withColumn("below", F.row_number().over(by.orderBy("id")))
@@ -98,7 +99,7 @@ def rank_sparse(pool: DataFrame, positives: DataFrame, scores: DataFrame) -> Dat
     less = hit.where("rank is null").select("src", "tgt", "at", "scored").join(scored.select("src", "id", "below"), "src", "left").where("id < tgt or id is null")
     less = less.groupBy("src", "tgt").agg(F.max("below").alias("less"))
     hit = hit.join(less, ["src", "tgt"], "left")
-    rest = F.coalesce("scored", F.lit(0)) + F.col("at") - F.coalesce("less", F.lit(0))
+    rest = F.coalesce("scored", F.lit(0)) + F.col("at") - F.coalesce("less", F.lit(0)) - (F.col("src") < F.col("tgt")).cast("int") * int(own)
     return hit.select("src", "tgt", F.coalesce("rank", rest).cast("bigint").alias("rank"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import walks
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: What Spark and DuckDB call the same thing.
@@ -170,14 +171,17 @@ def per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.per_source(_ranks(spark, sf_dir, "degree"))
 
 
-def bfs_levels(spark: SparkSession, sf_dir: str, depth: int = 4) -> DataFrame:
-    """Level of every node within ``depth`` steps of the nodes divisible by 500, one frontier join a level."""
+def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level of every node that can be reached from the nodes of the first day; one frontier join a level, until none is new."""
     g = G.part_graph(spark, sf_dir)
-    edges = g.edges.persist()
-    seen = g.nodes.where("id % 500 = 0").select("id", F.lit(0).alias("level"))
-    front = seen
-    for k in range(1, depth + 1):
-        front = front.join(edges, front.id == edges.src).select(F.col("tgt").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("level", F.lit(k)).persist()
+    edges, nodes = g.edges.persist(), g.nodes.persist()
+    first = nodes.agg(F.min("d").alias("d"))
+    seen = walks.settled(nodes.join(F.broadcast(first), "d").select("id", F.lit(0).alias("level")))
+    front, k = seen, 0
+    while not front.isEmpty():
+        k += 1
+        step = front.select("id").join(edges, front.id == edges.src).select(F.col("tgt").alias("id")).distinct()
+        front = walks.settled(step.join(seen, "id", "left_anti").withColumn("level", F.lit(k)))
         seen = seen.union(front)
     return seen
 
@@ -186,4 +190,4 @@ QUERIES: dict[str, Query] = {f"rank_{k}": _rank(k) for k in SCORES} | {"per_sour
 _ranked = lambda kind, tail: _duck(RANKED.replace("{scores}", SCORES[kind]) + " " + tail)
 ORACLES: dict[str, str] = {f"rank_{k}": _ranked(k, METRICS) for k in SCORES} | {k: _duck(v) for k, v in SQL.items()}
 ORACLES["per_source"] = _ranked("degree", "SELECT src AS source, best AS best_rank, round(1.0 / CAST(best AS DOUBLE), 9) AS rr, k AS n_reachable FROM best")
-ORACLES["bfs_levels"] = "WITH RECURSIVE " + BASE.replace("{seed}", str(SEED)) + ", walk AS (SELECT id, 0 AS level FROM nodes WHERE id % 500 = 0 UNION SELECT e.tgt, level + 1 FROM walk JOIN edges e ON e.src = walk.id WHERE level < 4) SELECT id, min(level) AS level FROM walk GROUP BY 1"
+ORACLES["bfs_levels"] = "WITH RECURSIVE " + BASE.replace("{seed}", str(SEED)) + ", walk AS (SELECT id, 0 AS level FROM nodes WHERE d = (SELECT min(d) FROM nodes) UNION SELECT e.tgt, level + 1 FROM walk JOIN edges e ON e.src = walk.id WHERE level < 30) SELECT id, min(level) AS level FROM walk GROUP BY 1"

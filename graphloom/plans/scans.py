@@ -93,8 +93,11 @@ def more_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = G.part_graph(spark, sf_dir).edges.select(F.col("src").alias("name"), F.col("tgt").alias("dep"))
-    return P.crawl(e.where("name % 500 = 0").select("name"), e, levels=4)
+    """From the parts of the first day, until no part is new."""
+    g = G.part_graph(spark, sf_dir)
+    first = g.nodes.agg(F.min("d").alias("d"))
+    seeds = g.nodes.join(F.broadcast(first), "d").select(F.col("id").alias("name"))
+    return P.crawl(seeds, g.edges.select(F.col("src").alias("name"), F.col("tgt").alias("dep")))
 
 
 def personal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +150,7 @@ ORACLES = {
     "atom_entries": "SELECT id, title, summary, published, CAST(CASE WHEN y >= 90 THEN 1900 + y ELSE 2000 + y END AS INT) AS year FROM (SELECT lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS id, p_type || ' x' AS title, p_brand AS summary, DATE '2001-02-03' AS published, CAST(substring(lpad(CAST(p_partkey AS VARCHAR), 7, '0'), 1, 2) AS INT) AS y FROM part WHERE p_size > 5) x",
     "edge_lines": _base("SELECT lpad(CAST(src AS VARCHAR), 7, '0') AS src, lpad(CAST(tgt AS VARCHAR), 7, '0') AS tgt FROM edges"),
     "more_seeds": "WITH s AS (SELECT p_brand AS grp, sum(CAST(p_size < 5 AS INT)) + least(sum(CAST(p_size >= 5 AS INT)), 40) AS score FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 7), o AS (SELECT s.grp, score, p_partkey AS name, row_number() OVER (PARTITION BY s.grp ORDER BY p_partkey) AS r FROM s JOIN part ON p_brand = s.grp) SELECT grp, name FROM (SELECT *, row_number() OVER (ORDER BY score DESC, grp, name) AS k FROM o WHERE r <= 20) x WHERE k <= 100",
-    "crawl": "WITH RECURSIVE " + R.BASE.replace("{seed}", str(R.SEED)) + ", walk AS (SELECT DISTINCT src AS name, 0 AS level FROM edges WHERE src % 500 = 0 UNION SELECT e.tgt, level + 1 FROM walk JOIN edges e ON e.src = walk.name WHERE level < 4) SELECT name, min(level) AS level FROM walk GROUP BY 1",
+    "crawl": "WITH RECURSIVE " + R.BASE.replace("{seed}", str(R.SEED)) + ", walk AS (SELECT id AS name, 0 AS level FROM nodes WHERE d = (SELECT min(d) FROM nodes) UNION SELECT e.tgt, level + 1 FROM walk JOIN edges e ON e.src = walk.name WHERE level < 30) SELECT name, min(level) AS level FROM walk GROUP BY 1",
     "personal_rank": _base(_DEGREES + ", w0 AS (SELECT DISTINCT e.src, e.src AS id, CAST(0.85 AS DOUBLE) AS s FROM edges e JOIN win w ON w.id = e.src WHERE w.win = 'test'), " + ", ".join(f"w{k} AS MATERIALIZED (SELECT w.src, b AS id, sum(s * p) AS s FROM w{k - 1} w JOIN step ON a = w.id GROUP BY 1, 2)" for k in range(1, 21)) + " SELECT src, id, round(sum(s) + 13e-13, 9) AS score FROM (" + " UNION ALL ".join(f"SELECT * FROM w{k}" for k in range(21)) + ") x GROUP BY 1, 2"),
     "paired_tests": R._duck(R.RUNS + ", g AS (SELECT dataset, model, count(*) AS n, avg(diff) AS mean, stddev_samp(diff) AS sd, CAST(sum(CAST(diff > 0 AS INT)) AS BIGINT) AS positive, CAST(sum(CAST(diff < 0 AS INT)) AS BIGINT) AS negative FROM delta GROUP BY 1, 2), a AS (SELECT *, n - 1 AS df, atan(abs(mean / (sd / sqrt(n))) / sqrt(n - 1)) AS q FROM g), s AS (SELECT dataset, model, sum(CASE WHEN df % 2 = 1 THEN exp(2 * k * ln(2) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * pow(cos(q), 2 * k + 1) ELSE exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - 2 * k * ln(2)) * pow(cos(q), 2 * k) END) AS t FROM a, range(0, 500) r(k) WHERE k <= CASE WHEN df % 2 = 1 THEN (df - 3) // 2 ELSE (df - 2) // 2 END GROUP BY 1, 2), b AS (SELECT dataset, model, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2))) AS t FROM g, range(0, 500) r(k) WHERE k <= least(positive, n - positive) GROUP BY 1, 2) SELECT a.dataset, a.model, n, round(mean, 9) AS mean, round(sd, 9) AS sd, round(CASE WHEN df % 2 = 1 THEN 1 - 2 / pi() * (q + sin(q) * s.t) ELSE 1 - sin(q) * s.t END, 6) AS p, positive, negative, abs(positive - n / 2) >= n / 2 - 1 AS nearly_all, round(least(2 * b.t, 1), 6) AS p_sign FROM a JOIN s ON a.dataset = s.dataset AND a.model = s.model JOIN b ON a.dataset = b.dataset AND a.model = b.model", False),
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
