@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .decontam import matches
+from .dialogue import repaired_damage
+from .divergence import SQL as DIVERGENCE
+from .divergence import source_divergence
 from .html import main_text
 from .jaccard import ngram_jaccard_join
+from .language import language
 from .licenses import license_scan
 from .pieces import piece_codec
 from .pii import KINDS, personal_data, written
@@ -72,8 +76,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_interleave(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_pii, op3_warc, op4_toxicity, op5_html_extraction, op6_decontamination, op7_ann, op8_license_scan, op9_sentencepiece, op10_sharding)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_damage(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_pii, op3_warc, op4_toxicity, op5_html_extraction, op6_decontamination, op7_ann, op8_license_scan, op9_sentencepiece, op10_sharding, op11_source_divergence, op12_language_id, op13_conversation_repair)}
 ORACLES: dict[str, str] = {
+    "op11_source_divergence": DIVERGENCE,
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         q AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p)
