@@ -10,10 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import symmetric
+from .tables import Scratch
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -48,11 +51,52 @@ def normalized_adjacency(edges: DataFrame) -> DataFrame:
     return rows.select(F.col("src").alias("i"), F.col("tgt").alias("j"), (1 / F.sqrt(F.col("a") * F.col("b"))).alias("w"))
 
 
-def _times(matrix: DataFrame, block: DataFrame, k: int, turned: bool = False) -> DataFrame:
-    """Matrix, or its transpose, times a block: partial sums of each entry before the shuffle."""
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    x = np.ascontiguousarray(x, float)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+
+
+def _by_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, w, x) as the sum of w x for each run of equal ids of a batch; of sorted rows, for each id."""
+    held: tuple | None = None  # the last id of a batch, which may go on in the next
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids, x = b.column("id"), _matrix(b.column("x")) * b.column("w").to_numpy()[:, None]
+        order = pc.array_sort_indices(ids)
+        ids, x = ids.take(order), x[order.to_numpy()]
+        first = np.flatnonzero(np.concatenate(([True], pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False))))
+        ids, x = ids.take(pa.array(first)), np.add.reduceat(x, first, axis=0)
+        if held is not None and held[0][0] == ids[0]:
+            x[0] += held[1][0]
+        elif held is not None:
+            yield pa.RecordBatch.from_arrays([held[0], _lists(held[1])], ["id", "x"])
+        held = ids[-1:], x[-1:].copy()
+        if len(ids) > 1:
+            yield pa.RecordBatch.from_arrays([ids[:-1], _lists(x[:-1])], ["id", "x"])
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([held[0], _lists(held[1])], ["id", "x"])
+
+
+def added(rows: DataFrame) -> DataFrame:
+    """(id, x): the sum of w x over ``rows`` (id, w, x) of each id, added up in batches before the shuffle."""
+    kind = f"id {rows.schema['id'].dataType.simpleString()}, x array<double>"
+    some = rows.select("id", "w", "x").mapInArrow(_by_id, kind)
+    return some.repartition("id").sortWithinPartitions("id").withColumn("w", F.lit(1.0)).mapInArrow(_by_id, kind)
+
+
+def _weighted(matrix: DataFrame, block: DataFrame, turned: bool = False) -> DataFrame:
+    """(id, w, x): what each entry of the matrix, or of its transpose, makes of a block."""
     a, b = ("j", "i") if turned else ("i", "j")
-    rows = matrix.join(block.withColumnRenamed("id", b), b)
-    return rows.groupBy(F.col(a).alias("id")).agg(*(F.sum(F.col("w") * F.col("x")[c]).alias(f"c{c}") for c in range(k))).select("id", F.array(*(f"c{c}" for c in range(k))).alias("x"))
+    return matrix.join(block.withColumnRenamed("id", b), b).select(F.col(a).alias("id"), "w", "x")
+
+
+def _times(matrix: DataFrame, block: DataFrame, turned: bool = False) -> DataFrame:
+    return added(_weighted(matrix, block, turned))
 
 
 def _gram(block: DataFrame, k: int) -> np.ndarray:
@@ -85,9 +129,12 @@ def _turned(block: DataFrame, by: np.ndarray) -> DataFrame:
 
 def _orthonormal(block: DataFrame, k: int) -> DataFrame:
     """A basis of a block's span; directions that have vanished become zero columns."""
-    values, vectors = np.linalg.eigh(_gram(block, k))
+    gram = _gram(block, k)
+    size = np.diag(gram).copy()
+    size = np.where(size > 0, 1 / np.sqrt(np.maximum(size, 1e-300)), 0.0)  # columns of one length first: the rest is then well conditioned
+    values, vectors = np.linalg.eigh(gram * size[:, None] * size)
     scale = np.where(values > max(values.max(), 0) * 1e-12, 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
-    return _turned(block, vectors * scale)
+    return _turned(block, size[:, None] * vectors * scale)
 
 
 def _drawn(ids: DataFrame, k: int, seed: int) -> DataFrame:
@@ -96,21 +143,80 @@ def _drawn(ids: DataFrame, k: int, seed: int) -> DataFrame:
     return ids.select("id", F.array(*map(one, range(k))).alias("x"))
 
 
-def singular(matrix: DataFrame, k: int, seed: int = 42, rounds: int = 10, spare: int = 8) -> tuple[DataFrame, DataFrame, list[float]]:
+def _squared(matrix: DataFrame, block: DataFrame, scratch: Scratch, factor: float = 1.0, *more: tuple[DataFrame, float]) -> DataFrame:
+    """factor * M^T M block, with multiples of other blocks added."""
+    rows = _weighted(matrix, scratch.keep(_times(matrix, block)), True).withColumn("w", F.col("w") * factor)
+    for other, by in more:
+        rows = rows.union(other.select("id", F.lit(by).alias("w"), "x"))
+    return scratch.keep(added(rows))
+
+
+def singular(matrix: DataFrame, k: int, seed: int = 42, rounds: int = 30, spare: int | None = None, tol: float = 1e-3, degree: int = 8) -> tuple[DataFrame, DataFrame, list[float]]:
     """(rows: id, x = U S; columns: id, x = V; S) of the k leading singular triplets of (i, j, w).
 
-    Block power iteration from a hashed start with a few spare vectors. Fewer than k come back
-    where the matrix has a smaller rank.
+    Subspace iteration from a hashed start with spare vectors. A round damps what lies under the least
+    value of the block by a Chebyshev polynomial of M^T M of the ``degree``, and turns the block to its
+    Ritz vectors. It ends when |M^T M v - s^2 v| <= tol * s_1^2 for all k, which bounds the error of each
+    s^2 by that much and, of those set apart by a gap, by its square over the gap; 'rounds' without that
+    are an error, so no unsettled value is given out. Fewer than k come back where the rank is smaller.
     """
-    matrix, b = matrix.persist(), k + spare
-    v = _drawn(matrix.select(F.col("j").alias("id")).distinct(), b, seed)
-    for _ in range(rounds):
-        v = settled(_orthonormal(settled(_times(matrix, settled(_times(matrix, v, b)), b, True)), b))
-    u = settled(_times(matrix, v, b))
-    values, vectors = np.linalg.eigh(_gram(u, b))
-    order = [c for c in np.argsort(-values)[:k] if values[c] > max(values.max(), 0) * 1e-12]
-    turn = vectors[:, order]
-    return _turned(u, turn), _turned(v, turn), [float(np.sqrt(values[c])) for c in order]
+    spark = matrix.sparkSession
+    with Scratch(spark) as scratch:
+        matrix = scratch.keep(matrix.select("i", "j", "w"), "matrix")
+        ids = matrix.select(F.col("j").alias("id")).distinct()
+        b = min(k + (max(8, k // 4) if spare is None else spare), ids.count())
+        if not b:
+            nothing = matrix.select(F.col("j").alias("id"), F.array("w").alias("x"))
+            return matrix.select(F.col("i").alias("id"), F.array("w").alias("x")), nothing, []
+        held = Scratch(spark)
+        v = held.keep(_orthonormal(_drawn(ids, b, seed), b))
+        for turn in range(rounds):
+            with Scratch(spark) as step:
+                image = _squared(matrix, v, step)
+                both = v.withColumnRenamed("x", "y").join(image, "id").select("id", F.concat("y", "x").alias("x"))
+                gram = _gram(both, 2 * b)  # of v and its image: all that Rayleigh and Ritz need
+                values, by = np.linalg.eigh((gram[:b, b:] + gram[b:, :b]) / 2)
+                values, by = values[::-1], by[:, ::-1]
+                left = np.sqrt(np.maximum(np.diag(by.T @ gram[b:, b:] @ by) - values**2, 0))
+                rank = min(k, int((values > max(values[0], 0) * 1e-12).sum()))
+                done = (left[:rank] <= tol * values[0] + 1e-12).all()
+                if not done and turn == rounds - 1:
+                    raise ValueError(f"singular vectors not settled after {rounds} rounds")
+                new = Scratch(spark)
+                v = new.keep(_turned(v, by[:, :rank] if done else by))
+                if not done:
+                    v = new.keep(_orthonormal(_damped(matrix, v, _turned(image, by), values, degree, step), b))
+                held.clear()
+                held = new
+            if done:
+                break
+        out = Scratch(spark)  # these two are the result
+        columns, rows = out.keep(v, "columns"), out.keep(_times(matrix, v), "rows")
+        held.clear()
+    return rows, columns, [float(np.sqrt(x)) for x in values[:rank]]
+
+
+#: A round enlarges the leading vector over what it damps by so much at most, that the block keeps its rank in double precision.
+GROWTH = 1e4
+
+
+def _damped(matrix: DataFrame, v: DataFrame, image: DataFrame, values: np.ndarray, degree: int, step: Scratch) -> DataFrame:
+    """A Chebyshev polynomial of M^T M times ``v``, of which ``image`` is M^T M v: under 1 up to the least of ``values``, 1 at the largest."""
+    half = max(values[-1], values[0] * 1e-9) / 2
+    top = values[0] / half - 1
+    degree = min(degree, max(1, int(np.log(2 * GROWTH) / np.arccosh(max(top, 1 + 1e-9)))))
+    first = image.select("id", F.lit(1 / (half * top)).alias("w"), "x").union(v.select("id", F.lit(-1 / top).alias("w"), "x"))
+    before, now, ratio = v, step.keep(added(first)), top
+    for _ in range(degree - 1):
+        grown = 2 * top - 1 / ratio
+        before, now = now, _squared(matrix, now, step, 2 / (half * grown), (now, -2 / grown), (before, -1 / (grown * ratio)))
+        ratio = grown
+    return now
+
+
+def projected(matrix: DataFrame, columns: DataFrame) -> DataFrame:
+    """(id, x): rows (i, j, w), seen or unseen, times the columns V that ``singular`` gave; rows without a known j have none."""
+    return _times(matrix, columns)
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -123,20 +229,68 @@ def unit(x: Column | str, least: float = 1e-8) -> Column:
     return F.transform(x, lambda v: v / F.greatest(F.sqrt(dot(x, x)), F.lit(least)))
 
 
+#: Rows of a tile of sources or candidates; digits of a score that count, so that a tie is the same however it was summed.
+TILE, DIGITS = 1024, 9
+
+
+def _tiles(vectors: DataFrame, number: int, name: str, seed: int) -> DataFrame:
+    """(tile, ids, matrix) of rows (id, x): each row of the result has about TILE vectors."""
+    tile = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, -(-number // TILE))))
+
+    def packed(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        x = _matrix(rows.column("x").combine_chunks())
+        return pa.table({name: pa.array([key[0].as_py()], pa.int64()), f"{name}_ids": pa.array([rows.column("id").to_pylist()], pa.list_(pa.int64())), f"{name}_x": _lists(x.reshape(1, -1))})
+
+    return vectors.withColumn("tile", tile).groupBy("tile").applyInArrow(packed, f"{name} long, {name}_ids array<long>, {name}_x array<double>")
+
+
 def best_ranks(pool: DataFrame, positives: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(source, best_rank, n_reachable) by dot products of dense vectors, without sorting candidates.
+    """(source, best_rank, n_reachable) by dot products of dense vectors, without sorting candidates and without a row for a pair.
 
-    A source's best rank is one more than the candidates that come before its first positive,
-    so a count over pairs replaces a sort; sources are a stated query set, which every candidate
-    meets once. NaN counts as the worst.
+    A source's best rank is one more than the candidates that come before its first positive: those with a
+    larger score, to DIGITS digits, or an equal one and a smaller id. Sources, a stated query set, and candidates
+    are packed in tiles; every pair of tiles is one matrix product of which only counts by source leave the task.
+    A source is no candidate of its own; NaN counts as the worst; a positive out of the pool or without a vector
+    isn't reachable, and a source without a reachable one has no row. Candidates without a vector don't count.
     """
-    asks = positives.select("src").distinct().join(vectors.select(F.col("id").alias("src"), F.col("x").alias("xs")), "src")
-    held = positives.join(pool.select(F.col("id").alias("tgt")), "tgt").join(vectors.select(F.col("id").alias("tgt"), "x"), "tgt").join(asks, "src")
-    score = lambda: F.nanvl(dot("xs", "x"), F.lit(float("-inf")))
-    top = held.where("src <> tgt").groupBy("src").agg(F.min(F.struct((-score()).alias("s"), F.col("tgt").alias("id"))).alias("top"), F.count("*").alias("n_reachable"))
-    asks = asks.join(top, "src")
-    pairs = pool.join(vectors, "id").join(asks, F.col("id") != F.col("src"))
-    return pairs.groupBy(F.col("src").alias("source"), "n_reachable").agg((1 + F.count_if(F.struct((-score()).alias("s"), F.col("id").alias("id")) < F.col("top"))).alias("best_rank")).select("source", "best_rank", "n_reachable")
+    spark = pool.sparkSession
+    known = vectors.select("id", "x")
+    candidates = pool.select("id").join(known, "id")
+    positives = positives.select("src", "tgt").distinct().where("src <> tgt")
+    first = positives.join(candidates.withColumnsRenamed({"id": "tgt", "x": "y"}), "tgt").join(known.withColumnsRenamed({"id": "src"}), "src")
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = _score(_matrix(b.column("x")), _matrix(b.column("y")), True)
+            yield pa.RecordBatch.from_arrays([b.column("src"), b.column("tgt"), pa.array(-s)], ["src", "tgt", "less"])
+
+    tops = first.select("src", "tgt", "x", "y").mapInArrow(scored, "src long, tgt long, less double")
+    with_tops = tops.groupBy("src").agg(F.min(F.struct("less", "tgt")).alias("top"), F.count("*").alias("n_reachable"))
+    held = Scratch(spark)  # read by the result
+    asks = held.keep(with_tops.join(known.withColumnRenamed("id", "src"), "src").select(F.col("src").alias("id"), F.concat(F.array(F.col("top.less"), F.col("top.tgt").cast("double"), F.col("n_reachable").cast("double")), "x").alias("x")), "asks")
+    candidates = held.keep(candidates, "candidates")
+    a, c = _tiles(asks, asks.count(), "a", 1), _tiles(candidates, candidates.count(), "c", 2)
+    pairs = held.keep(a, "tiles").crossJoin(held.keep(c, "tiles"))  # of tiles: a query set against all rows, in blocks
+    pairs = pairs.repartition(max(1, min(10_000, asks.count() * candidates.count() // (8 * TILE * TILE) + spark.sparkContext.defaultParallelism)), "a", "c")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                src, ids = (b.column(f"{n}_ids")[k].values.to_numpy() for n in "ac")
+                x, y = (b.column(f"{n}_x")[k].values.to_numpy().reshape(len(i), -1) for n, i in (("a", src), ("c", ids)))
+                best, tgt, n = -x[:, :1], x[:, 1:2], x[:, 2]
+                score = _score(x[:, 3:], y, False)
+                ahead = ((score > best) | ((score == best) & (ids[None, :] < tgt))) & (ids[None, :] != src[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(n.astype(np.int64)), pa.array(ahead.sum(1))], ["source", "n_reachable", "ahead"])
+
+    found = pairs.select("a_ids", "a_x", "c_ids", "c_x").mapInArrow(counted, "source long, n_reachable long, ahead long")
+    return found.groupBy("source", "n_reachable").agg((1 + F.sum("ahead")).alias("best_rank")).select("source", "best_rank", "n_reachable")
+
+
+def _score(x: np.ndarray, y: np.ndarray, pairwise: bool) -> np.ndarray:
+    with np.errstate(invalid="ignore", over="ignore"):
+        s = np.round((x * y).sum(1) if pairwise else x @ y.T, DIGITS) + 0.0
+    return np.where(np.isnan(s), -np.inf, s)
 
 
 def sparse_cosine(left: DataFrame, right: DataFrame) -> DataFrame:
