@@ -83,7 +83,13 @@ def _unit(vs: list[bytes]) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def _scaled(m: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings the largest component under 1: no square overflows or vanishes, and no digit changes."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(-1, keepdims=True))[1])
+
+
 def cosine(q: np.ndarray, m: np.ndarray) -> np.ndarray:
+    q, m = _scaled(q), _scaled(m)
     return (m @ q) / (np.sqrt((m * m).sum(1)) * np.sqrt(q @ q))
 
 
