@@ -35,8 +35,9 @@ CLOSES_P = set("address article aside blockquote details div dl fieldset figure
 BAD = ("nav menu footer foot header banner sidebar side aside ad ads advert sponsor promo cookie consent notice comment comments reply disqus form login "
        "signup subscribe newsletter share social related breadcrumb breadcrumbs pagination widget toolbar popup modal search masthead legal copyright tags").split()
 GOOD = "article main content post entry body story text page blog paragraph prose".split()
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>?|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</?[a-zA-Z](?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*>?|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: A quote opens a value behind = alone; elsewhere it is a character like others.
 _ATTR = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"[\s\xa0]+")
 FEATURES = 24
@@ -207,7 +208,11 @@ class Trees:
         return f
 
 
-def layouts(n: int = 240, seed: int = 5) -> Iterator[tuple[str, str]]:
+#: Blocks of an article besides paragraphs, in made-up pages.
+OTHER = ("<figure><img src=a.png><figcaption>{}</figcaption></figure>", "<h2>{}</h2>", "<pre>{}</pre>", "<table><tr><td>{}</td></tr></table>", "<section><p>{}</p></section>", "<div><p>{}</p></div>", "<dl><dd>{}</dd></dl>")
+
+
+def layouts(n: int = 300, seed: int = 5) -> Iterator[tuple[str, str]]:
     """Made-up pages; text of the main part has the word MAIN in each run, and only there."""
     rnd = random.Random(seed)
     word = lambda: "".join(rnd.choice("aeioulnrstdm") for _ in range(rnd.randint(2, 9)))
@@ -232,7 +237,7 @@ def layouts(n: int = 240, seed: int = 5) -> Iterator[tuple[str, str]]:
         return f"<header><h2>{say(3)}</h2><p>{say(5)}</p></header>"
 
     for _ in range(n):
-        para = lambda: rnd.choice(["<p>{}</p>", "<p>{}", "<p><b>{}<br></p>", "<p>{}</p>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>"]).format(f"MAIN {say(rnd.choice([1, 2, 4, 10, 30, 60, 120]))}{rnd.choice(['', link()])}")
+        para = lambda: rnd.choice([*["<p>{}</p>", "<p>{}", "<p><b>{}<br></p>", "<p>{}</p>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>"] * 3, *OTHER]).format(f"MAIN {say(rnd.choice([1, 2, 4, 10, 30, 60, 120]))}{rnd.choice(['', link()])}")
         inner = f"<h1>MAIN {say(6)}</h1>" * (rnd.random() < 0.8) + "".join(para() + (block("ad") if rnd.random() < 0.06 else "") for _ in range(rnd.randint(1, 14)))
         wrap = rnd.choice(["<article>{}</article>", "<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="post">{}</div>', '<div class="entry-content">{}</div>', "<main><article>{}</article></main>", "<div>{}</div>"])
         before = [block(rnd.choice(["menu", "header", "ad", "form", "side"])) for _ in range(rnd.randint(1, 4))]

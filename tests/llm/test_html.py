@@ -48,3 +48,8 @@ def test_a_nodes_text_is_split_where_a_block_stands(trees):
 def html_ordered(nodes):
     html.features(nodes)
     return nodes
+
+
+def test_quotes_of_unquoted_values_and_captions(trees):
+    page = "<body><nav><a href=/>Home</a></nav><article title=it's><h1>A heading</h1><p title=it's class='x'>One good sentence, which goes on.</p><figure><img src=a.png alt=\"a > b\"><figcaption>What it shows</figcaption></figure><p>Another of them.</p></article><footer>Me</footer></body>"
+    assert html.extract([page], trees)[0] == "A heading\n\nOne good sentence, which goes on.\n\nWhat it shows\n\nAnother of them."

@@ -189,3 +189,49 @@ def test_scaled_copies_keep_the_smallest_ids(spark):
     rows = [(i, [float(x) for x in one * 2.0 ** (i % 20 - 10)]) for i in range(1, 41)] + [(50, [float(x) for x in one])] + [(100 + i, [float(x) for x in rng.standard_normal(16)]) for i in range(60)]
     got = [r for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect() if r.query_id == 50]
     assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == [1, 2, 3, 4, 5]
+
+
+def test_vectors_of_extreme_lengths_have_their_cosines(spark):
+    """Components near the ends of the double range: scores as of the same directions at length 1, NaN for none."""
+    rng = np.random.default_rng(8)
+    one = rng.standard_normal((120, 8))
+    rows = [(i, [float(x) for x in one[i] * 10.0 ** [0, 200, -200, 300, -300][i % 5]]) for i in range(120)]
+    got = [r for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    unit = one / np.linalg.norm(one, axis=1, keepdims=True)
+    assert len(got) == 15 and all(r.score == pytest.approx(unit[r.query_id] @ unit[r.vec_id], abs=1e-12) for r in got)
+
+
+def interleaved(rows, shards=24, seed=7):
+    """The definition, on one machine: rank by MD5 in each source, order by fractional rank, cut in even runs."""
+    from collections import Counter
+
+    digest = lambda i: hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest()
+    number, seen, order = Counter(s for *_, s in rows), Counter(), []
+    for i, _, s in sorted(rows, key=lambda r: (r[2], digest(r[0]), r[0])):
+        order.append(((2 * seen[s] + 1) / (2 * number[s]), digest(i), s, i))
+        seen[s] += 1
+    n, out, slots = len(rows), {}, Counter()
+    for at, (*_, i) in enumerate(sorted(order)):
+        shard = at * shards // n
+        out[i] = (shard, slots[shard])
+        slots[shard] += 1
+    return out
+
+
+def test_shards_equal_a_plain_interleaving(spark):
+    rnd = random.Random(3)
+    rows = [(i, "x", rnd.choice(["a", "a", "b", "c", f"only{i}"])) for i in range(3000)]
+    got = sharding.stratified_interleave(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: (r["shard"], r.slot) for r in got} == interleaved(rows)
+
+
+def test_equal_ranks_and_ids_are_dealt_evenly(spark):
+    """Sources of one row all have the same fractional rank, rows without an id the same digest: no part holds more than its share."""
+    from pyspark.sql import functions as F
+
+    for df in (spark.range(100_000).selectExpr("id AS doc_id", "'t' AS text", "concat('s', id) AS source"), spark.range(50_000).selectExpr("cast(null AS long) AS doc_id", "'t' AS text", "'s' AS source")):
+        rows = df.withColumn("row", F.monotonically_increasing_id()).withColumn("key", F.lit(0.5))
+        placed, _ = sharding._placed(rows.repartition(4), [F.col("key"), F.col("doc_id"), F.col("row")], "test")
+        assert sorted(r["at"] for r in placed.select("at").collect()) == list(range(df.count()))
+        got = sharding.stratified_interleave(df).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last")).collect()
+        assert len(got) == 24 and max(r.n for r in got) - min(r.n for r in got) <= 1 and all(r.last == r.n - 1 for r in got)
