@@ -9,6 +9,8 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .tables import Scratch
+
 F_TEST, F_VAL, JITTER, HALF_BAND_MIN = 0.07, 0.08, 0.05, 12
 
 
@@ -71,14 +73,21 @@ def windows(graph: Graph, seed: int = 101) -> DataFrame:
     return p.select("id", "d", F.col("rn").cast("bigint").alias("rn"), F.col("n").cast("bigint").alias("n"), win.alias("win"))
 
 
+_views: list[DataFrame] = []
+
+
 def register(spark: SparkSession, sf_dir: str, seed: int = 101) -> None:
-    """Views of the part graph (nodes, edges, win) and of the tables, for queries in SQL."""
+    """Views of the part graph (nodes, edges, win) and of the tables, for queries in SQL; the graph is worked out once, where a query reads it, and let go with the next call."""
     for t in ("lineitem", "orders", "part", "events", "documents", "pages", "embeddings", "customer", "nation", "region", "supplier", "benchmark", "conversations"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    while _views:
+        _views.pop().unpersist()
     g = part_graph(spark, sf_dir)
-    g.nodes.createOrReplaceTempView("nodes")
-    g.edges.createOrReplaceTempView("edges")
-    windows(g, seed).createOrReplaceTempView("win")
+    g = Graph(g.nodes.persist(), g.edges.persist())
+    win = windows(g, seed).persist()
+    _views.extend((g.nodes, g.edges, win))
+    for name, df in (("nodes", g.nodes), ("edges", g.edges), ("win", win)):
+        df.createOrReplaceTempView(name)
 
 
 def rank_sparse(pool: DataFrame, positives: DataFrame, scores: DataFrame, own: bool = False) -> DataFrame:
@@ -115,13 +124,25 @@ def numbered(pool: DataFrame, slices: int = 256) -> DataFrame:
     return cut.withColumn("i", inside).join(F.broadcast(first.select("s", "before")), "s").select("id", (F.col("before") + F.col("i")).alias("at"))
 
 
+def in_order(rows: DataFrame, order: list[Column], scratch: Scratch) -> DataFrame:
+    """``rows`` with at: the place of each from 1 in ``order``, which must tell all rows apart.
+
+    Rows are dealt by sampled borders of the whole key and sorted where they arrive, so neither equal
+    scores nor one order over all rows meet in one task; only a count for each part is added up.
+    """
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the number of a row in its part
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"part": F.spark_partition_id(), "i": inside + 1})
+    dealt = scratch.keep(dealt, "order")
+    first = dealt.groupBy("part").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return dealt.join(first.select("part", "before"), "part").withColumn("at", F.col("before") + F.col("i")).drop("part", "i", "before")
+
+
 def rank_global(pool: DataFrame, positives: DataFrame) -> DataFrame:
     """Ranks where the score depends on the candidate alone (pool: id, score): one order serves all sources."""
-    levels = pool.groupBy("score").agg(F.count("*").alias("k"))
-    levels = levels.select("score", F.coalesce(F.sum("k").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("score").orderBy("id"))
-    ranked = pool.withColumn("i", inside).join(levels, "score").select(F.col("id").alias("tgt"), (F.col("before") + F.col("i")).cast("bigint").alias("rank"))
-    return positives.join(ranked, "tgt").select("src", "tgt", "rank")
+    with Scratch(pool.sparkSession) as scratch:
+        ranked = in_order(pool.select("id", "score"), [F.desc("score"), F.asc("id")], scratch)
+        hit = positives.join(ranked.select(F.col("id").alias("tgt"), F.col("at").alias("rank")), "tgt").select("src", "tgt", "rank")
+        return Scratch(pool.sparkSession).keep(hit, "ranks")
 
 
 def per_source(ranks: DataFrame) -> DataFrame:
@@ -149,15 +170,25 @@ def scored_pairs(kind: str, edges: DataFrame, sources: DataFrame, pool: DataFram
     """Non-zero scores (src, id, score) of sources and candidates on the symmetric form of ``edges``.
 
     adj is the adjacency bit; common_neighbors, adamic_adar and resource_allocation sum over the
-    shared neighbours, with weights 1, 1/ln(degree) and 1/degree.
+    shared neighbours, with weights 1, 1/ln(degree) and 1/degree. The forms over the bit,
+    bit_adamic_adar and bit_resource, have the source's own weight for each neighbour, and
+    bit_normalized 1 over the root of both degrees' product (1 at least).
     """
-    both = symmetric(edges)
+    both = symmetric(edges).persist()
+    deg = both.groupBy("src").agg(F.count("*").alias("deg"))
+    share = {"adamic_adar": F.when(F.col("deg") > 1, 1 / F.ln(F.greatest("deg", F.lit(2)))).otherwise(0.0), "resource_allocation": 1 / F.col("deg"), "common_neighbors": F.lit(1.0)}
+    near = both.join(pool.withColumnRenamed("id", "tgt"), "tgt", "left_semi")  # candidates alone are worth a second step
     if kind == "adj":
-        out = both.join(sources, "src").select("src", F.col("tgt").alias("id"), F.lit(1.0).alias("score"))
-    else:
-        deg = both.groupBy("src").agg(F.count("*").alias("deg"))
-        weight = {"common_neighbors": F.lit(1.0), "adamic_adar": F.when(F.col("deg") > 1, 1 / F.ln("deg")).otherwise(0.0), "resource_allocation": 1 / F.col("deg")}[kind]
-        mid = deg.select(F.col("src").alias("mid"), weight.alias("w"))
-        first = both.join(sources, "src").select("src", F.col("tgt").alias("mid")).join(mid, "mid")
-        out = first.join(both.select(F.col("src").alias("mid"), F.col("tgt").alias("id")), "mid").where("id <> src").groupBy("src", "id").agg(F.round(F.sum("w"), 9).alias("score")).where("score > 0")
-    return out.join(pool, "id", "left_semi").where("id <> src")
+        return near.join(sources, "src").select("src", F.col("tgt").alias("id"), F.lit(1.0).alias("score")).where("id <> src")
+    if kind.startswith("bit_"):
+        rows = near.join(sources, "src").join(deg, "src")
+        if kind == "bit_normalized":
+            rows = rows.join(deg.select(F.col("src").alias("tgt"), F.col("deg").alias("other")), "tgt")
+            score = 1 / F.greatest(F.sqrt(F.col("deg") * F.col("other").cast("double")), F.lit(1.0))
+        else:
+            score = share["adamic_adar" if kind == "bit_adamic_adar" else "resource_allocation"]
+        return rows.select("src", F.col("tgt").alias("id"), F.round(score, 9).alias("score")).where("id <> src and score > 0")
+    mid = deg.select(F.col("src").alias("mid"), share[kind].alias("w"))
+    first = both.join(sources, "src").select("src", F.col("tgt").alias("mid")).join(mid, "mid")
+    out = first.join(near.select(F.col("src").alias("mid"), F.col("tgt").alias("id")), "mid").where("id <> src").groupBy("src", "id").agg(F.round(F.sum("w"), 9).alias("score"))
+    return out.where("score > 0")

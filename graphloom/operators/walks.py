@@ -24,23 +24,36 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
 
 
-def personal_rank(edges: DataFrame, sources: DataFrame, alpha: float = 0.15, steps: int = 20, least: float = 0.0) -> DataFrame:
-    """(src, id, score) of truncated personalised PageRank on the symmetric form of ``edges``.
+#: Sources whose walks go together, as one array a node.
+WALKS = 128
 
-    score = (1 - alpha) * sum over k <= steps of alpha^k P^k, P row-stochastic; a node without
-    neighbours passes nothing on. A step is a join and a sum over the nodes that a walk has
-    reached; ``least`` drops smaller weights before they are passed on (0: none).
+
+def personal_rank(edges: DataFrame, sources: DataFrame, alpha: float = 0.15, steps: int = 20) -> DataFrame:
+    """(src, id, score) of truncated personalised PageRank on the symmetric form of ``edges``, where the score isn't 0.
+
+    score = (1 - alpha) * sum over k <= steps of alpha^k P^k, P row-stochastic; a node without neighbours
+    passes nothing on. The walks of WALKS sources are one array for each node that any of them has reached,
+    so a step moves arrays along edges and adds them up in batches before the shuffle.
     """
-    both = symmetric(edges)
-    go = both.join(both.groupBy("src").agg(F.count("*").alias("deg")), "src").select(F.col("src").alias("mid"), F.col("tgt").alias("to"), (F.lit(alpha) / F.col("deg")).alias("p")).persist()
-    now = sources.select("src", F.col("src").alias("id"), F.lit(1.0 - alpha).alias("score"))
-    total = now
-    for k in range(1, steps + 1):
-        now = now.where(F.col("score") > least).withColumnRenamed("id", "mid").join(go, "mid").groupBy("src", F.col("to").alias("id")).agg(F.sum(F.col("score") * F.col("p")).alias("score"))
-        if k % 4 == 0:
-            now = settled(now)
-        total = total.union(now)
-    return total.groupBy("src", "id").agg(F.sum("score").alias("score"))
+    spark = edges.sparkSession
+    with Scratch(spark) as scratch:
+        both = symmetric(edges)
+        go = both.join(both.groupBy("src").agg(F.count("*").alias("deg")), "src").select(F.col("src").alias("mid"), F.col("tgt").alias("to"), (F.lit(alpha) / F.col("deg")).alias("p"))
+        go = scratch.keep(go, "go")
+        own = sources.select("src").distinct()
+        tile = F.pmod(F.xxhash64("src"), F.lit(max(1, -(-own.count() // WALKS)))).cast("int")
+        asks = scratch.keep(own.withColumn("tile", tile).withColumn("slot", F.row_number().over(Window.partitionBy("tile").orderBy("src")) - 1), "asks")
+        width = (asks.agg(F.max("slot")).first()[0] or 0) + 1
+        one = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.when(k == F.col("slot"), 1.0 - alpha).otherwise(0.0))
+        now = scratch.keep(asks.select("tile", F.col("src").alias("id"), one.alias("x")), "walk")
+        total = now
+        for _ in range(steps):
+            moved = now.withColumnRenamed("id", "mid").join(go, "mid").select("tile", F.col("to").alias("id"), F.col("p").alias("w"), "x")
+            now = scratch.keep(added(moved, ["tile", "id"]), "walk")
+            total = total.union(now)
+        total = added(total.withColumn("w", F.lit(1.0)), ["tile", "id"])
+        scores = total.select("tile", "id", F.posexplode("x").alias("slot", "score")).where("score <> 0").join(asks, ["tile", "slot"])
+        return Scratch(spark).keep(scores.select("src", "id", "score"), "scores")
 
 
 def normalized_adjacency(edges: DataFrame) -> DataFrame:
@@ -60,33 +73,43 @@ def _lists(x: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
 
 
-def _by_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, w, x) as the sum of w x for each run of equal ids of a batch; of sorted rows, for each id."""
-    held: tuple | None = None  # the last id of a batch, which may go on in the next
-    for b in batches:
-        if not b.num_rows:
-            continue
-        ids, x = b.column("id"), _matrix(b.column("x")) * b.column("w").to_numpy()[:, None]
-        order = pc.array_sort_indices(ids)
-        ids, x = ids.take(order), x[order.to_numpy()]
-        first = np.flatnonzero(np.concatenate(([True], pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False))))
-        ids, x = ids.take(pa.array(first)), np.add.reduceat(x, first, axis=0)
-        if held is not None and held[0][0] == ids[0]:
-            x[0] += held[1][0]
-        elif held is not None:
-            yield pa.RecordBatch.from_arrays([held[0], _lists(held[1])], ["id", "x"])
-        held = ids[-1:], x[-1:].copy()
-        if len(ids) > 1:
-            yield pa.RecordBatch.from_arrays([ids[:-1], _lists(x[:-1])], ["id", "x"])
-    if held is not None:
-        yield pa.RecordBatch.from_arrays([held[0], _lists(held[1])], ["id", "x"])
-
-
-def added(rows: DataFrame) -> DataFrame:
-    """(id, x): the sum of w x over ``rows`` (id, w, x) of each id, added up in batches before the shuffle."""
-    kind = f"id {rows.schema['id'].dataType.simpleString()}, x array<double>"
-    some = rows.select("id", "w", "x").mapInArrow(_by_id, kind)
-    return some.repartition("id").sortWithinPartitions("id").withColumn("w", F.lit(1.0)).mapInArrow(_by_id, kind)
+def _by(keys: list[str]):
+    """Rows (keys, w, x) as the sum of w x for each run of equal keys of a batch; of sorted rows, for each key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None  # the last key of a batch, which may go on in the next
+        give = lambda k, x: pa.RecordBatch.from_arrays([*k.columns, _lists(x)], [*keys, "x"])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own, x = b.select(keys), _matrix(b.column("x")) * b.column("w").to_numpy()[:, None]
+            order = pc.sort_indices(own, sort_keys=[(k, "ascending") for k in keys])
+            own, x = own.take(order), x[order.to_numpy()]
+            new = np.zeros(len(x), bool)
+            new[0] = True
+            for c in own.columns:
+                new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(new)
+            own, x = own.take(pa.array(first)), np.add.reduceat(x, first, axis=0)
+            if held is not None and held[0].equals(own.slice(0, 1)):
+                x[0] += held[1][0]
+            elif held is not None:
+                yield give(*held)
+            held = own.slice(len(x) - 1), x[-1:].copy()
+            if len(x) > 1:
+                yield give(own.slice(0, len(x) - 1), x[:-1])
+        if held is not None:
+            yield give(*held)
+
+    return run
+
+
+def added(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, x): the sum of w x over ``rows`` (keys, w, x) of each key (id), added up in batches before the shuffle."""
+    keys = keys or ["id"]
+    kind = ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys), "x array<double>"])
+    some = rows.select(*keys, "w", "x").mapInArrow(_by(keys), kind)
+    return some.repartition(*keys).sortWithinPartitions(*keys).withColumn("w", F.lit(1.0)).mapInArrow(_by(keys), kind)
 
 
 def _weighted(matrix: DataFrame, block: DataFrame, turned: bool = False) -> DataFrame:

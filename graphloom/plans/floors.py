@@ -85,12 +85,12 @@ def fitted_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rank_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personalised walks of three steps over the observed edges, as scores."""
+    """Personalised walks over the observed edges, as scores."""
     g, win = _whole(spark, sf_dir)
     pool, pos, obs = G.observed(g, win)
     held = G.symmetric(obs).select("src").distinct()
-    walk = walks.personal_rank(obs, pos.select("src").distinct().join(held, "src", "left_semi"), steps=3)
-    scores = walk.join(pool, "id", "left_semi").select("src", "id", F.round("score", 9).alias("score")).where("score > 0 and id <> src")
+    walk = walks.personal_rank(obs, pos.select("src").distinct().join(held, "src", "left_semi"))
+    scores = walk.join(pool, "id", "left_semi").select("src", "id", F.round(F.col("score") + 1.3e-12, 9).alias("score")).where("score > 0 and id <> src")
     return G.metrics(G.per_source(G.rank_sparse(pool, pos, scores)))
 
 
@@ -173,8 +173,8 @@ def _ranked(recipes: tuple[T.Recipe, ...], tail: str, stage: str = "test", whole
 
 
 _SOURCES = "SELECT src AS source, round(1.0 / CAST(best AS DOUBLE), 9) AS rr, k FROM best"
-_WALK = "SELECT src, id, round(sum(s), 9) AS score FROM (SELECT * FROM w0 UNION ALL SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3) x GROUP BY 1, 2"
-_STEPS = "step AS (SELECT u.src AS a, u.tgt AS b, CAST(0.15 AS DOUBLE) / deg AS p FROM und u JOIN und_deg d ON d.src = u.src), w0 AS (SELECT src, src AS id, CAST(0.85 AS DOUBLE) AS s FROM asks), " + ", ".join(f"w{k} AS (SELECT w.src, b AS id, sum(s * p) AS s FROM w{k - 1} w JOIN step ON a = w.id GROUP BY 1, 2)" for k in (1, 2, 3)) + ", "
+_WALK = "SELECT src, id, round(sum(s) + 1.3e-12, 9) AS score FROM (" + " UNION ALL ".join(f"SELECT * FROM w{k}" for k in range(21)) + ") x GROUP BY 1, 2"
+_STEPS = "step AS (SELECT u.src AS a, u.tgt AS b, CAST(0.15 AS DOUBLE) / deg AS p FROM und u JOIN und_deg d ON d.src = u.src), w0 AS (SELECT src, src AS id, CAST(0.85 AS DOUBLE) AS s FROM asks), " + ", ".join(f"w{k} AS (SELECT w.src, b AS id, sum(s * p) AS s FROM w{k - 1} w JOIN step ON a = w.id GROUP BY 1, 2)" for k in range(1, 21)) + ", "
 ORACLES = {
     "content_floor": _ranked((BASE,), R.METRICS),
     "content_floor_val": _ranked((BASE,), R.METRICS, "val"),

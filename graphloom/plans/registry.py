@@ -40,6 +40,9 @@ SCORES = {
     "random": "SELECT a.src, p.id, CAST(0 AS DOUBLE) + ((p.id * 7919 + 104729) % 1000003) AS score FROM asks a CROSS JOIN pool p",
     "adj": "SELECT src, tgt AS id, 1.0 AS score FROM und",
     **{k: f"SELECT a.src, b.tgt AS id, round(sum({w}), 9) AS score FROM und a JOIN und b ON a.tgt = b.src JOIN und_deg g ON g.src = a.tgt JOIN asks q ON q.src = a.src WHERE a.src <> b.tgt GROUP BY 1, 2" for k, w in {"common_neighbors": "CAST(1 AS DOUBLE)", "adamic_adar": "CASE WHEN deg > 1 THEN 1 / ln(deg) ELSE 0 END", "resource_allocation": "CAST(1 AS DOUBLE) / deg"}.items()},
+    "bit_adamic_adar": "SELECT u.src, u.tgt AS id, round(CASE WHEN deg > 1 THEN 1 / ln(deg) ELSE 0 END, 9) AS score FROM und u JOIN und_deg g ON g.src = u.src",
+    "bit_resource": "SELECT u.src, u.tgt AS id, round(CAST(1 AS DOUBLE) / deg, 9) AS score FROM und u JOIN und_deg g ON g.src = u.src",
+    "bit_normalized": "SELECT u.src, u.tgt AS id, round(1 / greatest(sqrt(CAST(a.deg AS DOUBLE) * b.deg), 1), 9) AS score FROM und u JOIN und_deg a ON a.src = u.src JOIN und_deg b ON b.src = u.tgt",
 }
 SEED = 101
 #: From edges of the fit window's sources alone; features of a part are the TF-IDF terms of its name, brand and type.
@@ -91,7 +94,7 @@ SQL = {
     "symmetrize": "SELECT src, tgt FROM edges UNION SELECT tgt AS src, src AS tgt FROM edges",
     "negatives": NEGATIVES + " SELECT src, id FROM (SELECT h.src, f.id, h.k, row_number() OVER (PARTITION BY h.src ORDER BY h.o, f.rn) AS r FROM held h JOIN win f ON f.rn = h.place WHERE NOT EXISTS (SELECT 1 FROM edges p WHERE p.src = h.src AND p.tgt = f.id)) x WHERE r <= 10 * k",
     "df_idf": TOKENS + " SELECT term, count(DISTINCT doc_id) AS df, round(ln((1 + (SELECT count(*) FROM documents)) / (1 + count(DISTINCT doc_id))) + 1, 6) AS idf FROM tok GROUP BY 1",
-    "vocab_topk": TOKENS + " SELECT term, count(*) AS tf FROM tok GROUP BY 1 ORDER BY tf DESC, term LIMIT 200",
+    "vocab_topk": TOKENS + " SELECT term, count(*) AS tf FROM tok GROUP BY 1 ORDER BY tf DESC, term LIMIT 20000",
     "tfidf_weights": TOKENS + ", tf AS (SELECT doc_id, term, 1 + ln(count(*)) AS tf FROM tok GROUP BY 1, 2), df AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1), w AS (SELECT doc_id, tf.term, tf * idf AS x FROM tf JOIN df ON df.term = tf.term) SELECT doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS weight FROM w",
     "text_clean": "SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' '{g}), '[ \t\n]+', ' '{g}))) AS clean_chars FROM pages",
     "html_links": "SELECT page_id, count(*) AS links FROM pages, UNNEST(regexp_extract_all(html, 'href=\"[^\"]+\"', 0)) AS t(x) GROUP BY 1",
@@ -151,10 +154,8 @@ def _duck(sql: str, base: bool = True) -> str:
 
 
 def _ranks(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    g = G.part_graph(spark, sf_dir)
-    g = G.Graph(g.nodes.persist(), g.edges.persist())
-    win = G.windows(g, SEED).persist()
-    pool, pos, obs = G.observed(g, win)
+    G.register(spark, sf_dir, SEED)
+    pool, pos, obs = G.observed(G.Graph(spark.table("nodes"), spark.table("edges")), spark.table("win"))
     if kind == "degree":
         deg = obs.groupBy(F.col("tgt").alias("id")).agg(F.count("*").alias("score"))
         return G.rank_global(pool.join(deg, "id", "left").fillna(0, ["score"]), pos)
