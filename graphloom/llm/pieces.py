@@ -34,9 +34,11 @@ class Chunks(dict):
     generation, from which chunks that come up again are taken over.
     """
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, table: int = TABLE):
         import sentencepiece
 
+        self.table, self.most = table, HELD * table // TABLE
+
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
         n = self.sp.get_piece_size()
         if any(MARK in self.sp.id_to_piece(i).lstrip(MARK) for i in range(n)):
@@ -62,7 +64,7 @@ class Chunks(dict):
         return [" " + x for x in text[1:].split(" ")]
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self) >= TABLE or self.held >= HELD:
+        if len(self) >= self.table or self.held >= self.most:
             self.old, self.old_odd, self.odd, self.held = dict(self), self.odd, {}, 0
             self.clear()
         new = []
@@ -108,27 +110,29 @@ class Chunks(dict):
 _tables: dict[str, Chunks] = {}
 
 
-def _groups(texts: pa.Array) -> Iterator[list[str]]:
+def _groups(texts: pa.Array, group: int) -> Iterator[list[str]]:
     part, size = [], 0
     for t in texts:
         part.append(t.as_py() or "")
         size += len(part[-1])
-        if size > GROUP:
+        if size > group:
             yield part
             part, size = [], 0
     if part:
         yield part
 
 
-def _run(model: str, full: bool):
+def _run(model: str, full: bool, size: int):
+    group = GROUP * size // TABLE
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model not in _tables:
+        if model not in _tables or _tables[model].table != size:
             _tables.clear()
-            _tables[model] = Chunks(model)
+            _tables[model] = Chunks(model, size)
         table = _tables[model]
         for b in batches:
             at = 0
-            for texts in _groups(b.column("text")):
+            for texts in _groups(b.column("text"), group):
                 split = [table.split(t) for t in texts]
                 table.learn(set().union(*split))
                 n, x, y = [], [], []
@@ -143,10 +147,11 @@ def _run(model: str, full: bool):
     return run
 
 
-def piece_codec(docs: DataFrame, model: str, digests: bool = False) -> DataFrame:
+def piece_codec(docs: DataFrame, model: str, digests: bool = False, table: int = TABLE) -> DataFrame:
     """Encode and decode the whole text of each row of ``docs`` (doc_id, text; others are not read).
 
-    model: path of a SentencePiece model on every node. Gives doc_id, n_tokens, and ids (the
+    model: path of a SentencePiece model on every node; table: chunks that a worker remembers, which changes time
+    and memory but no result. Gives doc_id, n_tokens, and ids (the
     end id last) with the decoded text, or with ``digests`` the SHA-256 of each. A null or
     empty text has only the end id and decodes to nothing. Rows are independent: repeated and
     null ids stay as they are, and an empty table gives an empty result.
@@ -154,6 +159,6 @@ def piece_codec(docs: DataFrame, model: str, digests: bool = False) -> DataFrame
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     kinds = "a string, b string" if digests else "a array<int>, b string"
-    out = rows.mapInArrow(_run(model, not digests), f"doc_id long, n_tokens long, {kinds}")
+    out = rows.mapInArrow(_run(model, not digests, table), f"doc_id long, n_tokens long, {kinds}")
     names = {"a": "ids_sha256", "b": "decoded_sha256"} if digests else {"a": "ids", "b": "decoded"}
     return out.withColumnsRenamed(names)
