@@ -10,10 +10,14 @@ from graphloom.llm.decontam import without_leaks
 from graphloom.llm.jaccard import one_of_each
 from graphloom.llm.pieces import piece_codec
 from graphloom.llm.pii import without_personal_data
-from graphloom.llm.scratch import cut
+from graphloom.llm.scratch import cut, remove
 from graphloom.llm.toxicity import without_toxic
 
 
+#: Chunks that a worker of the last stage remembers: fewer than where the operator runs alone, beside what executors still hold of earlier stages.
+PIECES = 80_000
+
+
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted toxic go."""
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -37,7 +41,7 @@ def sanitize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return piece_codec(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return piece_codec(docs, public_tokenizers.path("piece_bpe_32k.model"), table=PIECES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -52,9 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs, _ = cut(docs, name)
+            docs, path = cut(docs, name)
+            if before:
+                remove(spark, before)  # the next stage's input is written: nothing reads this one's any more
+            before = path
     return docs
