@@ -53,3 +53,34 @@ class Scratch:
 
     def __exit__(self, *_: object) -> None:
         self.clear()
+
+
+def _at(spark: SparkSession, path: str):
+    """A path, and the file system that has it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def whole(spark: SparkSession, path: str) -> bool:
+    """Whether a table's write to ``path`` has ended."""
+    at, fs = _at(spark, f"{path}/_SUCCESS")
+    return fs.exists(at)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none where there is no folder."""
+    at, fs = _at(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def commit(df: DataFrame, path: str, replace: bool = False) -> None:
+    """Write ``df`` aside and rename it to ``path``: others see the whole table or none. Of two that write one path at once the first stays."""
+    spark = df.sparkSession
+    aside = f"{path.rstrip('/')}-attempt-{uuid.uuid4().hex}"
+    df.write.parquet(aside)
+    (a, fs), (b, _) = _at(spark, aside), _at(spark, path)
+    if replace and fs.exists(b):
+        fs.delete(b, True)
+    fs.mkdirs(b.getParent())
+    if fs.exists(b) or not fs.rename(a, b):
+        fs.delete(a, True)
