@@ -73,21 +73,27 @@ def windows(graph: Graph, seed: int = 101) -> DataFrame:
     return p.select("id", "d", F.col("rn").cast("bigint").alias("rn"), F.col("n").cast("bigint").alias("n"), win.alias("win"))
 
 
-_views: list[DataFrame] = []
+#: The views of the last graph that was asked for, by application, folder and seed.
+_views: dict[tuple[str, str, int], tuple[DataFrame, ...]] = {}
 
 
 def register(spark: SparkSession, sf_dir: str, seed: int = 101) -> None:
-    """Views of the part graph (nodes, edges, win) and of the tables, for queries in SQL; the graph is worked out once, where a query reads it, and let go with the next call."""
+    """Views of the part graph (nodes, edges, win) and of the tables, for queries in SQL.
+
+    The graph is worked out once, where a query reads it, and let go when another one is asked for.
+    """
     for t in ("lineitem", "orders", "part", "events", "documents", "pages", "embeddings", "customer", "nation", "region", "supplier", "benchmark", "conversations"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    while _views:
-        _views.pop().unpersist()
-    g = part_graph(spark, sf_dir)
-    g = Graph(g.nodes.persist(), g.edges.persist())
-    win = windows(g, seed).persist()
-    _views.extend((g.nodes, g.edges, win))
-    for name, df in (("nodes", g.nodes), ("edges", g.edges), ("win", win)):
-        df.createOrReplaceTempView(name)
+    key = (spark.sparkContext.applicationId, sf_dir, seed)
+    if key not in _views:
+        for old, dfs in _views.items():
+            for df in dfs if old[0] == key[0] else ():
+                df.unpersist()
+        _views.clear()
+        g = part_graph(spark, sf_dir)
+        _views[key] = (g.nodes, g.edges, windows(g, seed))
+    for name, df in zip(("nodes", "edges", "win"), _views[key], strict=True):
+        df.persist().createOrReplaceTempView(name)
 
 
 def rank_sparse(pool: DataFrame, positives: DataFrame, scores: DataFrame, own: bool = False) -> DataFrame:

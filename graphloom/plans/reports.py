@@ -12,7 +12,6 @@ from . import registry as R
 SOURCES = """per AS (SELECT o_custkey % 97 AS source, CAST(extract(month FROM o_orderdate) AS INT) AS seed, o_orderpriority AS model, avg(o_totalprice) / 1e6 AS rr FROM orders GROUP BY 1, 2, 3),
 flo AS (SELECT source, seed, avg(rr) AS rr FROM per GROUP BY 1, 2)"""
 #: Encoders, width, gates and time columns whose numbers of parameters are published.
-ENCODERS = "enc AS (SELECT * FROM (VALUES ('gat', 128, 0, 0), ('gat', 128, 1, 0), ('gat', 128, 0, 1), ('gat', 128, 1, 1), ('gat', 64, 1, 0), ('gat', 64, 0, 1), ('gcn', 128, 0, 0), ('sage', 128, 0, 0), ('gatv2', 128, 0, 0), ('gatv2', 64, 0, 0)) t(encoder, h, gates, times))"
 SQL = {
     "graph_density": """SELECT n AS n_nodes, m AS n_edges, round(m / (CAST(n AS DOUBLE) * (n - 1)), 9) AS density, round(m / CAST(n AS DOUBLE), 6) AS avg_degree
         FROM (SELECT count(*) AS n FROM nodes) a CROSS JOIN (SELECT count(*) AS m FROM edges) b""",
@@ -55,8 +54,6 @@ SQL = {
         round(sum(CASE WHEN r <= greatest(1, floor(n / 20)) THEN diff ELSE 0 END) / greatest(sum(CASE WHEN diff > 0 THEN diff ELSE 0 END), 1e-12), 9) AS top_5_percent FROM o GROUP BY 1""",
     "stale_numbers": """pats AS (SELECT * FROM (VALUES ('brushed'), ('^small'), ('copper$')) t(pat)), said AS (SELECT p_partkey, lower(p_type) AS line FROM part WHERE p_type NOT LIKE '#%' AND p_size <> 1)
         SELECT pat, count(*) AS hits FROM said CROSS JOIN pats WHERE MATCHES(line, pat) GROUP BY 1""",
-    "parameter_counts": ENCODERS + """, widths AS (SELECT *, CASE encoder WHEN 'gat' THEN 4 * h * h + 9 * h WHEN 'gcn' THEN h * h + h WHEN 'sage' THEN 2 * h * h + h ELSE 8 * h * h + 13 * h END AS conv FROM enc)
-        SELECT encoder, h, gates, times, CAST(600 * h + 2 * (2 * conv + 2 * h * h + h) + 2 * h + 1 + 56 * gates + 2 * h * times AS BIGINT) AS parameters FROM widths""",
 }
 #: Scores on the symmetric graph of observed edges; those of a pair's common neighbours are in ``registry``.
 SCORES = {
