@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import bitmap, bitmap_slot, cut, has, numbers, remove, without
+from .scratch import bitmap, bitmap_slot, cut, has, numbers, remove, ship, without
 from .textops import U, mix, shingles, slices
 
 #: Ratio of the largest to the smallest size of a band; differences in a range, parts of a range; ranges to spare, as a share.
@@ -301,6 +301,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     node. An empty table gives an empty result.
     """
     spark, gone = docs.sparkSession, []
+    ship(spark)
 
     def kept(df: DataFrame, tag: str) -> DataFrame:
         df, path = cut(df, tag)

@@ -6,7 +6,7 @@ distributed, and only k x k matrices come to the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -288,26 +288,34 @@ def best_ranks(pool: DataFrame, positives: DataFrame, vectors: DataFrame) -> Dat
             yield pa.RecordBatch.from_arrays([b.column("src"), b.column("tgt"), pa.array(-s)], ["src", "tgt", "less"])
 
     tops = first.select("src", "tgt", "x", "y").mapInArrow(scored, "src long, tgt long, less double")
-    with_tops = tops.groupBy("src").agg(F.min(F.struct("less", "tgt")).alias("top"), F.count("*").alias("n_reachable"))
+    tops = tops.groupBy("src").agg(F.min(F.struct("less", "tgt")).alias("top"), F.count("*").alias("n_reachable"))
+    tops = Scratch(spark).keep(tops.select("src", (-F.col("top.less")).alias("top"), F.col("top.tgt").alias("tgt"), "n_reachable"), "tops")  # read by the result
+    found = ahead(tops, candidates, known, _score)
+    return found.join(tops, "src").select(F.col("src").alias("source"), (F.col("ahead") + 1).alias("best_rank"), "n_reachable")
+
+
+def ahead(tops: DataFrame, candidates: DataFrame, vectors: DataFrame, score: Callable[[np.ndarray, np.ndarray, bool], np.ndarray]) -> DataFrame:
+    """(src, ahead): how many candidates (id, x) come before the place (top, tgt) of each source of ``tops``: by ``score`` of both vectors, of equals by id, the source itself apart."""
+    spark = tops.sparkSession
     held = Scratch(spark)  # read by the result
-    asks = held.keep(with_tops.join(known.withColumnRenamed("id", "src"), "src").select(F.col("src").alias("id"), F.concat(F.array(F.col("top.less"), F.col("top.tgt").cast("double"), F.col("n_reachable").cast("double")), "x").alias("x")), "asks")
-    candidates = held.keep(candidates, "candidates")
-    a, c = _tiles(asks, asks.count(), "a", 1), _tiles(candidates, candidates.count(), "c", 2)
+    asks = held.keep(tops.join(vectors.withColumnRenamed("id", "src"), "src").select(F.col("src").alias("id"), F.concat(F.array("top", F.col("tgt").cast("double")), "x").alias("x")), "asks")
+    candidates = held.keep(candidates.select("id", "x"), "candidates")
+    number, pool = asks.count(), candidates.count()
+    a, c = _tiles(asks, number, "a", 1), _tiles(candidates, pool, "c", 2)
     pairs = held.keep(a, "tiles").crossJoin(held.keep(c, "tiles"))  # of tiles: a query set against all rows, in blocks
-    pairs = pairs.repartition(max(1, min(10_000, asks.count() * candidates.count() // (8 * TILE * TILE) + spark.sparkContext.defaultParallelism)), "a", "c")
+    pairs = pairs.repartition(max(1, min(10_000, number * pool // (8 * TILE * TILE) + spark.sparkContext.defaultParallelism)), "a", "c")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 src, ids = (b.column(f"{n}_ids")[k].values.to_numpy() for n in "ac")
                 x, y = (b.column(f"{n}_x")[k].values.to_numpy().reshape(len(i), -1) for n, i in (("a", src), ("c", ids)))
-                best, tgt, n = -x[:, :1], x[:, 1:2], x[:, 2]
-                score = _score(x[:, 3:], y, False)
-                ahead = ((score > best) | ((score == best) & (ids[None, :] < tgt))) & (ids[None, :] != src[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(n.astype(np.int64)), pa.array(ahead.sum(1))], ["source", "n_reachable", "ahead"])
+                best, tgt, s = x[:, :1], x[:, 1:2], score(x[:, 2:], y, False)
+                before = ((s > best) | ((s == best) & (ids[None, :] < tgt))) & (ids[None, :] != src[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(before.sum(1))], ["src", "ahead"])
 
-    found = pairs.select("a_ids", "a_x", "c_ids", "c_x").mapInArrow(counted, "source long, n_reachable long, ahead long")
-    return found.groupBy("source", "n_reachable").agg((1 + F.sum("ahead")).alias("best_rank")).select("source", "best_rank", "n_reachable")
+    found = pairs.select("a_ids", "a_x", "c_ids", "c_x").mapInArrow(counted, "src long, ahead long")
+    return found.groupBy("src").agg(F.sum("ahead").alias("ahead"))
 
 
 def _score(x: np.ndarray, y: np.ndarray, pairwise: bool) -> np.ndarray:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import encoders as E
 from ..operators import graph as G
+from ..operators import pairs as L
 from ..operators import text as T
 from ..operators import walks
 from ..operators.tables import Scratch
@@ -68,6 +69,34 @@ def rank_spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
         return Scratch(spark).keep(_mrr(walks.best_ranks(pool, pos, scratch.keep(x, "spectral"))), "spectral")
 
 
+def pairwise(spark: SparkSession, sf_dir: str, full: bool, epochs: int = 40, seed: int = 121, batch: int = 32_768) -> tuple[DataFrame, list[float]]:
+    """(metrics of the test edges, losses by epoch) of a scorer of pairs fitted on the observed edges."""
+    with Scratch(spark) as scratch:
+        g, win = _kept(spark, sf_dir, scratch)
+        pool, pos, obs = G.observed(g, win)
+        obs = scratch.keep(obs, "observed")
+        deg = G.symmetric(obs).groupBy(F.col("src").alias("id")).agg(F.log1p(F.count("*").cast("double")).alias("deg"))
+        ends = win.select("id").join(deg, "id", "left").withColumn("deg", F.coalesce("deg", F.lit(0.0)))
+        if full:
+            rows, _, values = walks.singular(walks.normalized_adjacency(obs), SPECTRAL)
+            ends = ends.join(rows, "id", "left").select("id", F.concat(F.coalesce("x", F.array_repeat(F.lit(0.0), len(values))), F.array("deg")).alias("x"))
+        else:
+            ends = ends.select("id", F.array("deg").alias("x"))
+        ends = scratch.keep(ends, "ends")
+        scorer, losses = L.fit(obs, ends, win.select("id", F.col("rn").alias("at")), full, seed, epochs, batch=batch)
+        return Scratch(spark).keep(G.metrics(L.best_ranks(scorer, obs, ends, pool, pos)), "pairwise"), losses
+
+
+def pairwise_onehop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The learned scorer of pairs over adjacency and degrees."""
+    return pairwise(spark, sf_dir, False)[0]
+
+
+def pairwise_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The learned scorer of pairs over all structural features and spectral products."""
+    return pairwise(spark, sf_dir, True)[0]
+
+
 # --- encoders ---
 
 
@@ -170,6 +199,8 @@ def _trained(model: str, epochs: int) -> Callable[[SparkSession, str], DataFrame
 QUERIES = {
     "vector_floor": vector_floor,
     "rank_spectral": rank_spectral,
+    "pairwise_onehop": pairwise_onehop,
+    "pairwise_full": pairwise_full,
     "encode_gcn": _encoded("gcn"),
     "encode_sage": _encoded("sage"),
     "negatives_epoch": negatives_epoch,
