@@ -205,18 +205,17 @@ def more_seeds(have: DataFrame, want: DataFrame, offers: DataFrame, groups: int,
     return some.orderBy(F.desc("score"), "grp", "name").limit(most).select("grp", "name")
 
 
-def crawl(seeds: DataFrame, deps: DataFrame, target: int | None = None, levels: int = 50) -> DataFrame:
-    """(name, level) of what the seeds reach through deps (name, dep), a join a level.
+def crawl(seeds: DataFrame, deps: DataFrame, target: int | None = None) -> DataFrame:
+    """(name, level) of what the seeds reach through deps (name, dep), a join a level, until no name is new.
 
     target: no further level once so many names are known. Levels are checkpointed where a
     checkpoint folder is set.
     """
     keep = (lambda d: d.checkpoint()) if seeds.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda d: d.persist())
     front = keep(seeds.select("name").distinct().withColumn("level", F.lit(0)))
-    seen, known = front, front.count()
-    for k in range(1, levels + 1):
-        if target is not None and known >= target:
-            break
+    seen, known, k = front, front.count(), 0
+    while target is None or known < target:
+        k += 1
         front = keep(front.join(deps, "name").select(F.col("dep").alias("name")).distinct().join(seen, "name", "left_anti").withColumn("level", F.lit(k)))
         new = front.count()
         if not new:
