@@ -50,15 +50,23 @@ def _kept(spark: SparkSession, sf_dir: str, scratch: Scratch) -> tuple[G.Graph,
     return g, scratch.keep(G.windows(g, R.SEED), "windows")
 
 
-def vector_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The content floor by singular vectors: test edges ranked by cosine among nodes outside the test window."""
+def _floor(spark: SparkSession, sf_dir: str, stage: str) -> DataFrame:
     with Scratch(spark) as scratch:
         g, win = _kept(spark, sf_dir, scratch)
         x = content(spark, sf_dir, win, scratch)
-        ranks = walks.best_ranks(win.where("win <> 'test'").select("id"), _positives(g, win, "test"), x)
+        ranks = walks.best_ranks(win.where("win <> 'test'").select("id"), _positives(g, win, stage), x)
         return Scratch(spark).keep(_mrr(ranks), "floor")
 
 
+def floor_of(spark: SparkSession, sf_dir: str, stage: str) -> float:
+    return _floor(spark, sf_dir, stage).first()["mrr"]
+
+
+def vector_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The content floor by singular vectors: test edges ranked by cosine among nodes outside the test window."""
+    return _floor(spark, sf_dir, "test")
+
+
 def rank_spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test edges ranked by dot products of the observed graph's spectral embedding U S; a node without an edge has zeros."""
     with Scratch(spark) as scratch:
