@@ -2,7 +2,7 @@
 
 Passages of a text around a licence word are compared with header templates, and whole texts with full
 licence texts, all as sparse TF-IDF vectors over word unigrams and bigrams. A licence file is a text that is
-similar to a full text, holds little but a header, or has a header and the name of a licence file. A file
+similar to a full text, or has a header and the name of a licence file; a short text with a header speaks for itself alone. A file
 that says nothing takes the licence of the nearest ancestor directory that has a licence file:
 its path is exploded into ancestors, which are joined with the directories of such files.
 """
@@ -43,8 +43,8 @@ THRESHOLD = 0.6
 #: Cosine of a whole text to a full licence text from which on it is a licence file.
 FULL_THRESHOLD = 0.8
 _FILE_NAME = re.compile(r"(?:^|/)(?:licen[cs]e|copying|unlicense)(?:[._-][^/]*)?$", re.IGNORECASE)
-#: Words of a licence file at most, as a multiple of its template's; words of a passage before and after the licence word.
-FILE_SHARE, REACH = 2, 14
+#: Words of a passage before and after the licence word.
+REACH = 14
 _WORD = re.compile(r"[^\W_]+")
 _CUE = re.compile(r"licen[cs]|spdx|redistribut|hereby granted|\bcc[ -]?(?:by|0)")
 #: Every cue holds one of these, and they are found faster than a pattern is.
@@ -129,13 +129,13 @@ class Templates:
             return 0.0, "", "none"
         found, words = self.passages(text), _WORD.findall(text)
         top, name = max(((s, self.full.rows[k][0]) for k, s in self.full.dots(terms(words)).items()), default=(0.0, ""))
-        score, size = max(found.values(), default=(0.0, 0), key=lambda x: x[0])
+        score = max((s for s, _ in found.values()), default=0.0)
         names = {k for k, (s, _) in found.items() if s >= THRESHOLD}
         if top >= FULL_THRESHOLD:
             return top, " AND ".join(sorted(names - self.own[name] | {name})), "file"
         if not names:
             return score, "", "none"
-        return score, " AND ".join(sorted(names)), "file" if len(words) <= FILE_SHARE * size or _FILE_NAME.search(path) else "header"
+        return score, " AND ".join(sorted(names)), "file" if _FILE_NAME.search(path) else "header"
 
 
 def _run(templates: dict[str, list[str]]):

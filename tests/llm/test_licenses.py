@@ -25,3 +25,9 @@ def test_remembered_passages_score_the_same():
     warm = Templates(TEMPLATES)
     first = [warm.scan(t or "") for _, _, t in FILES]
     assert [warm.scan(t or "") for _, _, t in FILES] == first == [Templates(TEMPLATES).scan(t or "") for _, _, t in FILES]
+
+
+def test_a_short_header_is_no_licence_of_its_directory(spark):
+    rows = [(1, "src0/en/1", "Some words. Licensed under CC BY-NC 4.0."), (2, "src0/en/2", "another text of the same directory"), (3, "lib/COPYING", "Licensed under CC BY-NC 4.0."), (4, "lib/x", "no word of it")]
+    got = {r.id: (r.license, r.how, r.inherited_from) for r in license_scan(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    assert got == {1: ("CC-BY-NC-4.0", "header", None), 2: ("", "none", None), 3: ("CC-BY-NC-4.0", "file", None), 4: ("CC-BY-NC-4.0", "inherited", "lib")}
