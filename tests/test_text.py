@@ -31,3 +31,32 @@ def test_ranks_equal_a_loop_where_sources_are_candidates(spark):
     got = G.rank_sparse(pool, spark.createDataFrame(positives, "src long, tgt long"), spark.createDataFrame([(s, c, x) for (s, c), x in scores.items()], "src long, id long, score double"), own=True)
     want = {(s, c, 1 + sorted((x for x in ids if x != s), key=lambda x: (-scores.get((s, x), 0.0), x)).index(c)) for s, c in positives}
     assert {(r.src, r.tgt, r.rank) for r in got.collect()} == want
+
+
+def test_content_best_equals_ranking_by_definition(spark, monkeypatch):
+    """Distinct texts in tiles, their copies counted: more copies than go together, nodes without text, equal scores."""
+    monkeypatch.setattr(T, "IDS", 3)
+    monkeypatch.setattr(T, "TILE", 4)
+    kinds = ["red nut", "red bolt", "blue nut", "nut red", "blue cog of", None, "of", "red red nut"]
+    texts = {i: kinds[i * i % 8] if i % 5 else kinds[i % 3] for i in range(60)}
+    win = {i: "fit" if i < 36 else "val" if i < 46 else "test" for i in range(60)}
+    edges = sorted({(s, (s * 7 + k * 11 + k * k) % 60) for s in range(60) for k in range(4)})
+    edges = [(s, t) for s, t in edges if s != t]
+    graph = T.G.Graph(None, spark.createDataFrame(edges, "src long, tgt long"))
+    wins, rows = spark.createDataFrame(list(win.items()), "id long, win string"), spark.createDataFrame(list(texts.items()), "id long, text string")
+    for recipes in ((T.Recipe(),), (T.Recipe(), T.Recipe(letters=True))):
+        vectors = {}
+        fit = wins.where("win = 'fit'").select("id")
+        for n, r in enumerate(recipes):
+            for x in T.tfidf(rows, fit, r).collect():
+                vectors.setdefault(x.id, {})[n, x.term] = x.x
+        cos = lambda a, b: round(sum(x * vectors.get(b, {}).get(t, 0) for t, x in vectors.get(a, {}).items()), 9)  # noqa: E731, B023
+        for stage, whole in (("test", False), ("val", False), ("test", True)):
+            pool, want = [i for i in win if whole or win[i] != "test"], {}
+            for s in range(60):
+                order = sorted((i for i in pool if i != s), key=lambda i: (-cos(s, i), i))
+                ranks = [order.index(t) + 1 for a, t in edges if a == s and t in order]
+                if win[s] == stage and ranks:
+                    want[s] = min(ranks), len(ranks)
+            got = T.content_best(graph, wins, rows, recipes, stage, whole).collect()
+            assert {r.source: (r.best_rank, r.n_reachable) for r in got} == want
