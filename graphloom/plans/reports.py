@@ -63,24 +63,22 @@ SCORES = {
 }
 
 
-def _ranks(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+def _sources(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     g = G.part_graph(spark, sf_dir)
     pool, pos, obs = G.observed(g, G.windows(g, R.SEED))
-    deg = G.symmetric(obs).groupBy("src").agg(F.count("*").alias("deg"))
     if kind == "normalised_neighbors":
-        pairs = G.scored_pairs("common_neighbors", obs, pos.select("src").distinct(), pool)
-        both = pairs.join(deg.withColumnRenamed("deg", "x"), "src").join(deg.select(F.col("src").alias("id"), F.col("deg").alias("y")), "id")
-        return G.rank_sparse(pool, pos, both.select("src", "id", F.round(F.col("score") / F.greatest(F.sqrt((F.col("x") * F.col("y")).cast("double")), F.lit(1.0)), 9).alias("score")))
+        return G.best_sparse(pool, pos, G.paths(kind, obs, pos.select("src").distinct(), pool))
+    deg = G.symmetric(obs).groupBy("src").agg(F.count("*").alias("deg"))
     scored = pool.join(deg.withColumnRenamed("src", "id"), "id", "left").select("id", F.coalesce("deg", F.lit(0)).alias("score"))
     if kind == "symmetric_degree":
-        return G.rank_global(scored, pos)
+        return G.per_source(G.rank_global(scored, pos))
     # a source's own degree scales all its scores alike, and without neighbours they are all 0
     known = pos.join(deg, "src", "left_semi")
-    return G.rank_global(scored, known).union(G.rank_global(pool.withColumn("score", F.lit(0)), pos.join(deg, "src", "left_anti")))
+    return G.per_source(G.rank_global(scored, known).union(G.rank_global(pool.withColumn("score", F.lit(0)), pos.join(deg, "src", "left_anti"))))
 
 
 def _rank(kind: str) -> R.Query:
-    return lambda spark, sf_dir: G.metrics(G.per_source(_ranks(spark, sf_dir, kind)))
+    return lambda spark, sf_dir: G.metrics(_sources(spark, sf_dir, kind))
 
 
 QUERIES: dict[str, R.Query] = {k: R._spark(v) for k, v in SQL.items()} | {f"rank_{k}": _rank(k) for k in SCORES}

@@ -99,15 +99,14 @@ def leave_one_out_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def per_source_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks of every source with how many positives it has, and how many of them can be ranked."""
-    ranks = R._ranks(spark, sf_dir, "degree")
-    sources = G.per_source(ranks)
+    sources = R._sources(spark, sf_dir, "degree")
     test = spark.table("edges").join(spark.table("win").where("win = 'test'").select(F.col("id").alias("src")), "src")
     return test.groupBy(F.col("src").alias("source")).agg(F.count("*").alias("n_positives")).join(sources, "source").select("source", "best_rank", "n_reachable", "n_positives")
 
 
 def _increments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every test source: reciprocal ranks by content and by common neighbours, length of its text, its positives and its group."""
-    model = G.per_source(R._ranks(spark, sf_dir, "common_neighbors")).select("source", F.col("rr").alias("model"))
+    model = R._sources(spark, sf_dir, "common_neighbors").select("source", F.col("rr").alias("model"))
     floor = floors._floor(spark, sf_dir, (floors.BASE,)).select("source", F.col("rr").alias("floor"))
     texts = floors.texts(spark, sf_dir).select(F.col("id").alias("source"), F.char_length("text").alias("length"), F.substring_index("text", " ", 1).alias("grp"))
     n = spark.table("edges").groupBy(F.col("src").alias("source")).agg(F.count("*").alias("n_positives"))
@@ -154,7 +153,7 @@ def rule_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 def protocol_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model's ranks among one pool against the content floor among the same or the other: matched and mixed readings, source by source and on the whole."""
     a, b = (floors._floor(spark, sf_dir, (floors.BASE,), whole=w).select("source", F.col("rr").alias(n)) for n, w in (("floor_a", False), ("floor_b", True)))
-    model = G.per_source(R._ranks(spark, sf_dir, "common_neighbors")).select("source", F.col("rr").alias("model"))
+    model = R._sources(spark, sf_dir, "common_neighbors").select("source", F.col("rr").alias("model"))
     rows = model.join(a, "source").join(b, "source")
     d = lambda n: F.col("model") - F.col(n)
     reading = F.explode(F.array(*(F.struct(F.lit(n).alias("reading"), F.col(c).alias("floor"), d(c).alias("diff")) for n, c in (("matched", "floor_a"), ("mixed", "floor_b")))))

@@ -38,3 +38,24 @@ def test_queries_equal_their_sql(spark, name):
     x = c.execute(registry.ORACLES[name])
     at = [[d[0] for d in x.description].index(k) for k in cols]
     assert sorted(repr(tuple(r[k] for k in cols)) for r in got.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in x.fetchall())
+
+
+def test_best_sparse_adds_rows_and_equals_rank_sparse(spark):
+    """Sums of several rows, ties, positives without a score or out of the pool, a score of 0."""
+    pool = [i for i in range(50) if i % 6]
+    paths = [(s, (s * 5 + k * 7) % 50, float(k % 3), 2.0) for s in range(8) for k in range(20) if (s * 5 + k * 7) % 50 in pool and s != 3]
+    scores = {}
+    for s, i, w, by in paths:
+        scores[s, i] = scores.get((s, i), 0.0) + w / by
+    positives = sorted({(s, (s * 11 + k * 13) % 50) for s in range(9) for k in range(1 + s % 4)})
+    ids, pos = spark.createDataFrame([(i,) for i in pool], "id long"), spark.createDataFrame(positives, "src long, tgt long")
+    want = G.per_source(G.rank_sparse(ids, pos, spark.createDataFrame([(s, i, x) for (s, i), x in scores.items() if x > 0], "src long, id long, score double")))
+    got = G.best_sparse(ids, pos, spark.createDataFrame(paths, "src long, id long, w double, by double"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("source", "best_rank", "rr", "n_reachable").collect()))
+
+
+def test_best_sparse_deals_pairs_once(spark):
+    """Pairs of a source and a candidate go through one exchange, whatever else is asked of them."""
+    ids, pos = spark.range(40), spark.range(9).selectExpr("id AS src", "id + 3 AS tgt")
+    plan = G.best_sparse(ids, pos, spark.range(99).selectExpr("id % 9 AS src", "id % 40 AS id", "1.0D AS w", "1.0D AS by"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (0, 99") == 1 and "src" in plan
