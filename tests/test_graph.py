@@ -59,3 +59,11 @@ def test_best_sparse_deals_pairs_once(spark):
     ids, pos = spark.range(40), spark.range(9).selectExpr("id AS src", "id + 3 AS tgt")
     plan = G.best_sparse(ids, pos, spark.range(99).selectExpr("id % 9 AS src", "id % 40 AS id", "1.0D AS w", "1.0D AS by"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Range (0, 99") == 1 and "src" in plan
+
+
+def test_negatives_of_hubs_equal_the_arrays(spark):
+    """Draws as rows and draws as arrays give the same, for sources with few and with many edges."""
+    edges = spark.createDataFrame(sorted({(s, (s * 7 + k * 11) % 400) for s in range(0, 300, 9) for k in range(1 + s % 14)}), "src long, tgt long")
+    win = spark.createDataFrame([(i, i + 1, "fit" if i < 300 else "test") for i in range(400)], "id long, rn long, win string")
+    arrays, rows = (sorted(map(tuple, G.negatives(edges, win, hub=hub).collect())) for hub in (G.HUB, 0))
+    assert arrays == rows and len(rows) > 300
