@@ -67,3 +67,9 @@ def test_negatives_of_hubs_equal_the_arrays(spark):
     win = spark.createDataFrame([(i, i + 1, "fit" if i < 300 else "test") for i in range(400)], "id long, rn long, win string")
     arrays, rows = (sorted(map(tuple, G.negatives(edges, win, hub=hub).collect())) for hub in (G.HUB, 0))
     assert arrays == rows and len(rows) > 300
+
+
+def test_descriptors_work_raw_columns_out_once(spark):
+    """The standardised descriptors read kept raw ones: no join is left in their plan but that with one row."""
+    plan = registry.QUERIES["descriptors_z"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "lineitem" not in plan
