@@ -15,9 +15,11 @@ PAIRS = ("()", "[]", "{}", "<>")
 
 
 def differing(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(gone, new): rows of one version that the other hasn't, repeats counted."""
-    only = lambda a, b, n: a.exceptAll(b).agg(F.count("*").alias(n))
-    return only(before, after, "gone").crossJoin(only(after, before, "new"))  # one row each
+    """(gone, new): rows of one version that the other hasn't, repeats counted; both versions are dealt by their rows once."""
+    more = F.sum("side").alias("more")
+    rows = before.withColumn("side", F.lit(-1)).union(after.withColumn("side", F.lit(1))).groupBy(*before.columns).agg(more)
+    one = lambda sign, n: F.coalesce(F.sum(F.greatest(sign * F.col("more"), F.lit(0))), F.lit(0)).cast("bigint").alias(n)
+    return rows.agg(one(-1, "gone"), one(1, "new"))
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

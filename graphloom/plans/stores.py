@@ -10,6 +10,7 @@ from ..operators import encoders as E
 from ..operators import graph as G
 from ..operators import jobs as J
 from ..operators import text as T
+from ..operators.tables import Scratch
 from ..sources import runs as N
 from ..sources import snapshots as S
 from ..sources.arrays import Arrays
@@ -89,11 +90,15 @@ def _described(who: str = "") -> str:
 
 
 def descriptor_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Descriptors of fit nodes over two versions of the content: nothing moves with nodes out of the fit graph, something does with one in it."""
-    sql = lambda who: R._spark(_described(who))(spark, sf_dir)
-    before = sql("").persist()
-    rows = [C.differing(before, sql(who).persist()).withColumn("changed", F.lit(who)) for who in ("free", "planted")]
-    return rows[0].union(rows[1])
+    """Descriptors of fit nodes over two versions of the content: nothing moves with nodes out of the fit graph, something does with one in it.
+
+    Each version is worked out and written by itself, so the driver holds one version's plan and small tables at a time.
+    """
+    with Scratch(spark) as scratch:
+        described = lambda who: scratch.keep(R._spark(_described(who))(spark, sf_dir), "described")
+        before = described("")
+        rows = [C.differing(before, described(who)).withColumn("changed", F.lit(who)) for who in ("free", "planted")]
+        return Scratch(spark).keep(rows[0].union(rows[1]), "invariance")
 
 
 def delimiter_lint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,3 +38,9 @@ def test_overlaps_equal_all_pairs_without_a_nested_loop(spark):
 def test_differing_counts_repeats(spark):
     a, b = (spark.createDataFrame([(x,) for x in s], "x string") for s in ("aabc", "abcd"))
     assert tuple(C.differing(a, b).first()) == (1, 1) and tuple(C.differing(a, a).first()) == (0, 0)
+
+
+def test_versions_are_dealt_by_their_rows_once(spark):
+    a, b = (spark.createDataFrame([(x, None) for x in s], "x string, y double") for s in ("aabc", "abcd"))
+    plan = C.differing(a, b)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
