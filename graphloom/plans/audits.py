@@ -19,26 +19,46 @@ def _count(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.count("*").alias("wrong")).select(F.lit(name).alias("check"), "wrong")
 
 
-def _faults(nodes: DataFrame, edges: DataFrame, win: DataFrame) -> DataFrame:
-    """(check, wrong) of a graph and its windows."""
-    ids = nodes.select("id")
+def _node_faults(nodes: DataFrame, win: DataFrame) -> list[DataFrame]:
+    """(check, wrong) of nodes and their windows."""
     dated = win.select("id", "win").join(nodes, "id")
     ends = dated.groupBy("win").agg(F.min("d").alias("low"), F.max("d").alias("high"))
     end = lambda w, c: ends.where(F.col("win") == w).select(F.col(c).alias(f"{w}_{c}"))
     borders = end("val", "low").crossJoin(end("test", "low"))  # one row
     early = dated.join(F.broadcast(borders)).where("(win = 'fit' AND d > val_low) OR (win IN ('fit', 'val') AND d > test_low)")
-    fit = edges.join(win.where("win = 'fit'").select(F.col("id").alias("src")), "src")
-    parts = [
-        _count(edges.where("src = tgt"), "loops"),
-        _count(edges.groupBy("src", "tgt").agg(F.count("*").alias("k")).where("k > 1"), "repeated edges"),
-        _count(edges.select("tgt").join(ids.withColumnRenamed("id", "tgt"), "tgt", "left_anti"), "targets without a node"),
-        _count(edges.select("src").join(ids.withColumnRenamed("id", "src"), "src", "left_anti"), "sources without a node"),
-        _count(ids.join(win, "id", "left_anti"), "nodes without a window"),
+    return [
+        _count(nodes.select("id").join(win, "id", "left_anti"), "nodes without a window"),
         _count(win.groupBy("id").agg(F.count_distinct("win").alias("k")).where("k > 1"), "nodes of two windows"),
         _count(early, "nodes before their window"),
-        _count(fit.join(win.where("win = 'test'").select(F.col("id").alias("tgt")), "tgt", "left_semi"), "fit edges into the test window"),
     ]
-    return reduce(DataFrame.union, parts)
+
+
+def _edge_faults(nodes: DataFrame, edges: DataFrame, wins: list[DataFrame]) -> DataFrame:
+    """(at, check, wrong) of versions of a graph: of version 0 the ``edges`` (src, tgt, since) with since 0, of version 1 all, each with its windows.
+
+    An edge meets what is known of its source, then of its target, where equal edges are together: two
+    exchanges serve all checks of all versions.
+    """
+    known = nodes.select("id", F.lit(1).alias("node"), *(F.lit(0).alias(f"{w}{v}") for v in range(len(wins)) for w in ("fit", "test")))
+    for v, win in enumerate(wins):
+        on = lambda w, at, v=v: ((F.col("win") == w).cast("int") if at == v else F.lit(0)).alias(f"{w}{at}")
+        known = known.union(win.select("id", F.lit(0), *(on(w, at) for at in range(len(wins)) for w in ("fit", "test"))))
+    known = known.groupBy("id").agg(*(F.sum(c).alias(c) for c in known.columns[1:]))
+    of = lambda end: known.select(*(F.col(c).alias(end if c == "id" else f"{end}_{c}") for c in known.columns))
+    rows = edges.join(of("src"), "src", "left").join(of("tgt"), "tgt", "left")
+    rows = rows.groupBy("src", "tgt").agg(*(F.count_if(F.col("since") <= v).alias(f"k{v}") for v in range(len(wins))), *(F.max(F.coalesce(f"{end}_{c}", F.lit(0))).alias(f"{end}_{c}") for end in ("src", "tgt") for c in known.columns[1:]))
+    wrong = {}
+    for v in range(len(wins)):
+        k = F.col(f"k{v}")
+        wrong |= {
+            (v, "loops"): F.when(F.col("src") == F.col("tgt"), k),
+            (v, "repeated edges"): (k > 1).cast("int"),
+            (v, "targets without a node"): F.when(F.col("tgt_node") == 0, k),
+            (v, "sources without a node"): F.when(F.col("src_node") == 0, k),
+            (v, "fit edges into the test window"): F.when(F.col(f"tgt_test{v}") > 0, k * F.col(f"src_fit{v}")),
+        }
+    one = rows.agg(*(F.coalesce(F.sum(x), F.lit(0)).cast("bigint").alias(f"c{i}") for i, x in enumerate(wrong.values())))  # one row
+    return one.select(F.inline(F.array(*(F.struct(F.lit(v).alias("at"), F.lit(name).alias("check"), F.col(f"c{i}").alias("wrong")) for i, (v, name) in enumerate(wrong)))))
 
 
 def audit_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,10 +66,15 @@ def audit_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     G.register(spark, sf_dir, R.SEED)
     nodes, edges, win = (spark.table(t) for t in ("nodes", "edges", "win"))
     win = win.select("id", "win")
-    e = edges.select("src", "tgt")
-    bad = e.union(e.where("src % 97 = 0").select("src", F.col("src"))).union(e.where("src % 89 = 0")).union(e.where("src % 83 = 0").select("src", F.col("tgt") + FAR))
+    more = lambda where, tgt: F.when(where, tgt)
+    planted = F.array_compact(F.array(more(F.col("src") % 97 == 0, F.col("src")), more(F.col("src") % 89 == 0, F.col("tgt")), more(F.col("src") % 83 == 0, F.col("tgt") + FAR)))
+    marked = F.concat(F.array(F.struct("tgt", F.lit(0).alias("since"))), F.transform(planted, lambda t: F.struct(t.alias("tgt"), F.lit(1).alias("since"))))
+    edges = edges.select("src", F.inline(marked))
     moved = win.withColumn("win", F.when((F.col("win") == "test") & (F.col("id") % 7 == 0), "fit").otherwise(F.col("win"))).where("id % 79 <> 0").union(win.where("id % 73 = 0").select("id", F.lit("val")))
-    return _faults(nodes, e, win).withColumn("of", F.lit("as it is")).union(_faults(nodes, bad, moved).withColumn("of", F.lit("planted")))
+    names = ("as it is", "planted")
+    parts = [p.withColumn("of", F.lit(name)) for name, w in zip(names, (win, moved), strict=True) for p in _node_faults(nodes, w)]
+    of = F.element_at(F.array(*map(F.lit, names)), F.col("at") + 1)
+    return reduce(DataFrame.union, parts, _edge_faults(nodes, edges, [win, moved]).select("check", "wrong", of.alias("of")))
 
 
 def audit_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,3 +113,13 @@ def test_crawl_of_a_long_chain(spark):
     got = {r.name: r.level for r in P.crawl(seeds, deps).collect()}
     assert got == {f"n{k}": k for k in range(21)}
     assert P.crawl(seeds, deps, target=4).count() == 4
+
+
+def test_audit_deals_edges_twice_for_all_checks(spark):
+    nodes = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    edges = spark.createDataFrame([(1, 2, 0), (1, 2, 1), (1, 9, 1), (3, 3, 1), (2, 3, 0)], "src long, tgt long, since int")
+    wins = [spark.createDataFrame(list(w), "id long, win string") for w in ({1: "fit", 2: "test", 3: "fit"}.items(), [(1, "fit"), (1, "fit"), (2, "test"), (3, "test")])]
+    found = audits._edge_faults(nodes, edges, wins)
+    got = {(r["at"], r["check"]): r["wrong"] for r in found.collect()}
+    names = ("loops", "repeated edges", "targets without a node", "sources without a node", "fit edges into the test window")
+    assert got == dict(zip(((v, n) for v in (0, 1) for n in names), (0, 0, 0, 0, 1, 1, 1, 1, 0, 4), strict=True))
