@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.tables import Scratch
+
 # Formats of the records, and what the filters leave out.
 NPM = "_id string, name string, description string, keywords string, readme string, time map<string,string>, `dist-tags` map<string,string>, versions map<string,struct<dependencies:map<string,string>>>"
 MAVEN = "ga string, `group` string, artifact string, latest string, first_date string, latest_date string, latest_is_prerelease boolean, n_versions int, name string, description string, deps map<string,string>"
@@ -208,17 +210,18 @@ def more_seeds(have: DataFrame, want: DataFrame, offers: DataFrame, groups: int,
 def crawl(seeds: DataFrame, deps: DataFrame, target: int | None = None) -> DataFrame:
     """(name, level) of what the seeds reach through deps (name, dep), a join a level, until no name is new.
 
-    target: no further level once so many names are known. Levels are checkpointed where a
-    checkpoint folder is set.
+    target: no further level once so many names are known. Dependencies are worked out once and written, as is each level.
     """
-    keep = (lambda d: d.checkpoint()) if seeds.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda d: d.persist())
-    front = keep(seeds.select("name").distinct().withColumn("level", F.lit(0)))
-    seen, known, k = front, front.count(), 0
-    while target is None or known < target:
-        k += 1
-        front = keep(front.join(deps, "name").select(F.col("dep").alias("name")).distinct().join(seen, "name", "left_anti").withColumn("level", F.lit(k)))
-        new = front.count()
-        if not new:
-            break
-        seen, known = seen.union(front), known + new
+    held = Scratch(seeds.sparkSession)  # levels are read by the result
+    with Scratch(seeds.sparkSession) as scratch:
+        deps = scratch.keep(deps.select("name", "dep"), "dependencies")
+        front = held.keep(seeds.select("name").distinct().withColumn("level", F.lit(0)), "level")
+        seen, known, k = front, front.count(), 0
+        while target is None or known < target:
+            k += 1
+            front = held.keep(front.join(deps, "name").select(F.col("dep").alias("name")).distinct().join(seen, "name", "left_anti").withColumn("level", F.lit(k)), "level")
+            new = front.count()
+            if not new:
+                break
+            seen, known = seen.union(front), known + new
     return seen

@@ -123,3 +123,16 @@ def test_audit_deals_edges_twice_for_all_checks(spark):
     got = {(r["at"], r["check"]): r["wrong"] for r in found.collect()}
     names = ("loops", "repeated edges", "targets without a node", "sources without a node", "fit edges into the test window")
     assert got == dict(zip(((v, n) for v in (0, 1) for n in names), (0, 0, 0, 0, 1, 1, 1, 1, 0, 4), strict=True))
+
+
+def test_crawl_works_out_dependencies_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    deps = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(5)], "name string, dep string").mapInArrow(counted, "name string, dep string")
+    assert P.crawl(spark.createDataFrame([("n0",)], "name string"), deps).count() == 6
+    assert read.value == 5
