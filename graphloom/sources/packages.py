@@ -134,13 +134,15 @@ def induce(records: DataFrame, since: str | None = None, until: str | None = Non
         if until:
             records = records.where(F.col("date") <= F.to_date(F.lit(until)))
     one = records.groupBy("name").agg(F.max_by(F.struct("date", "date_latest", "text", "deps"), F.struct("date", "date_latest", "text")).alias("r")).select("name", "r.*")
-    wants = one.select("name", F.explode("deps").alias("dep")).where("name <> dep").distinct()
-    wants = wants.join(one.select(F.col("name").alias("dep")), "dep", "left_semi")
+    one = Scratch(one.sparkSession).keep(one, "records")  # read by the result: records are parsed once
+    wants = lambda rows, *c: rows.select(*c, "name", F.explode(F.array_distinct("deps")).alias("dep")).where("name <> dep").drop(*({"name"} if c else ()))
     if min_edges:
-        one = one.join(wants.select("name").union(wants.select("dep")).distinct(), "name", "left_semi")
-    nodes = name_numbers(one.drop("deps"))
+        known = wants(one).join(one.select(F.col("name").alias("dep")), "dep", "left_semi")
+        one = one.join(known.select("name").union(known.select("dep")).distinct(), "name", "left_semi")
+    nodes = name_numbers(one.select("name", "date", "date_latest", "text"))
     ids = nodes.select("name", "id")
-    edges = wants.join(ids.withColumnRenamed("id", "src"), "name").join(ids.select(F.col("name").alias("dep"), F.col("id").alias("tgt")), "dep").select("src", "tgt")
+    own = one.select("name", "deps").join(ids.withColumnRenamed("id", "src"), "name")
+    edges = wants(own, "src").join(ids.select(F.col("name").alias("dep"), F.col("id").alias("tgt")), "dep").select("src", "tgt")
     return nodes.select("id", "name", F.col("date").alias("d"), F.col("date_latest").alias("d_latest"), "text"), edges
 
 

@@ -84,3 +84,21 @@ def test_personal_rank(spark):
     got = walks.personal_rank(spark.createDataFrame(edges, "src long, tgt long"), spark.createDataFrame([(0,), (4,)], "src long")).collect()
     assert {(r["src"], r["id"]) for r in got} == {(0, 0), (0, 1), (0, 2), (0, 3), (4, 4)}
     assert all(abs(r["score"] - want[r["src"], r["id"]]) < 1e-12 for r in got)
+
+
+def test_induced_records_are_parsed_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [("a", "2020-01-01", ["b", "b", "a", "z", None]), ("b", "2020-01-02", ["a"]), ("c", "2020-01-03", [])]
+    raw = spark.createDataFrame(rows, "name string, day string, deps array<string>").mapInArrow(counted, "name string, day string, deps array<string>")
+    records = raw.selectExpr("name", "date(day) AS date", "date(day) AS date_latest", "name AS text", "deps")
+    nodes, edges = P.induce(records)
+    assert sorted(r.name for r in nodes.collect()) == ["a", "b", "c"] and sorted(map(tuple, edges.collect())) == [(0, 1), (1, 0)]
+    assert read.value == 3
+    nodes, edges = P.induce(records, min_edges=1)
+    assert sorted(r.name for r in nodes.collect()) == ["a", "b"] and edges.count() == 2
