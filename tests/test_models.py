@@ -136,3 +136,11 @@ def test_crawl_works_out_dependencies_once(spark):
     deps = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(5)], "name string, dep string").mapInArrow(counted, "name string, dep string")
     assert P.crawl(spark.createDataFrame([("n0",)], "name string"), deps).count() == 6
     assert read.value == 5
+
+
+@pytest.mark.parametrize("name", ["encode_gcn", "encode_sage"])
+def test_messages_of_an_encoder_are_written_once(spark, monkeypatch, name):
+    seen, encode = [], models.E.encode
+    monkeypatch.setattr(models.E, "encode", lambda t, *more: seen.append(t.messages._jdf.queryExecution().executedPlan().toString()) or encode(t, *more))
+    assert models.QUERIES[name](spark, SF).count() == 200
+    assert "Exchange" not in seen[0] and "FileScan parquet" in seen[0]
