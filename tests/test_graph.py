@@ -73,3 +73,10 @@ def test_descriptors_work_raw_columns_out_once(spark):
     """The standardised descriptors read kept raw ones: no join is left in their plan but that with one row."""
     plan = registry.QUERIES["descriptors_z"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and "lineitem" not in plan
+
+
+def test_two_hop_deals_as_many_tasks_as_its_paths_need(spark):
+    edges = spark.createDataFrame([(a, 100 + b) for a in range(30) for b in range(4)] + [(100 + b, c) for b in range(4) for c in range(30)], "src long, tgt long")
+    got = G.two_hop(edges, most=100)
+    assert "hashpartitioning(src" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 41)" in plan
+    assert {(r.src, r.tgt): r.paths for r in got.collect()} == {(a, c): 4 for a in range(30) for c in range(30)} | {(100 + b, 100 + d): 30 for b in range(4) for d in range(4)}
