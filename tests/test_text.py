@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+from collections import Counter
 
 from graphloom.operators import graph as G
 from graphloom.operators import text as T
@@ -60,3 +62,21 @@ def test_content_best_equals_ranking_by_definition(spark, monkeypatch):
                     want[s] = min(ranks), len(ranks)
             got = T.content_best(graph, wins, rows, recipes, stage, whole).collect()
             assert {r.source: (r.best_rank, r.n_reachable) for r in got} == want
+
+
+def test_document_weights_with_few_common_terms(spark):
+    rows = [(1, "a b b c"), (1, "c d"), (2, "a E"), (3, None), (4, "1 2"), (None, "a f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {}
+    tf = Counter((d, w) for d, t in rows for w in re.findall("[a-z]+", (t or "").lower()))
+    df = Counter(w for _, w in tf)
+    for (d, w), k in tf.items():
+        want[d, w] = (1 + math.log(k)) * (math.log((1 + len(rows)) / (1 + df[w])) + 1)
+    norm = Counter()
+    for (d, _), x in want.items():
+        norm[d] += x * x
+    for common in (2, 100):
+        got = {(r.doc_id, r.term): r.x for r in T.document_weights(docs, "[a-z]+", common).collect()}
+        assert set(got) == set(want) and all(abs(x - want[k] / norm[k[0]] ** 0.5) < 1e-12 for k, x in got.items())
+    plan = T.document_weights(docs, "[a-z]+")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
