@@ -57,3 +57,15 @@ def test_quartiles(spark):
     got = walks.quartiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()
     assert {(r.g, r.v): r.stratum for r in got} == {(g, v): (v >= 2) + (v >= 4) + (v >= 6) for g, v in rows}
     assert G.numbered(spark.createDataFrame([], "id long")).count() == 0
+
+
+def test_many_rows_of_few_columns_go_by_their_gram_matrix(spark, monkeypatch):
+    a = np.random.default_rng(5).standard_normal((60, 6)) * np.linspace(3, 1, 6)
+    matrix = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(60) for j in range(6)], "i long, j long, w double")
+    met, times = [], walks._times
+    monkeypatch.setattr(walks, "_times", lambda *x: met.append(1) or times(*x))
+    rows, columns, got = walks.singular(matrix, 3, tol=1e-6)
+    want = np.linalg.svd(a, compute_uv=False)[:3]
+    assert np.allclose(got, want, atol=1e-9) and met == [1]  # the rows of the result alone
+    y = np.array([r.x for r in columns.orderBy("id").collect()])
+    assert np.allclose(a @ y, np.array([r.x for r in rows.orderBy("id").collect()]), atol=1e-9)
