@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
 from graphloom.operators import parts as X
+from graphloom.operators import spectral as S
 from graphloom.operators import walks
 from graphloom.operators.tables import Scratch
 
@@ -57,3 +58,24 @@ def test_ranks_by_walks_equal_those_of_rows(spark):
     scores = walk.join(pool, "id", "left_semi").select("src", "id", F.round(F.col("score") + 1.3e-12, 9).alias("w"), F.lit(1.0).alias("by")).where("id <> src")
     want = sorted(map(tuple, G.best_sparse(pool, positives, scores).collect()))
     assert sorted(map(tuple, walks.walk_ranks(pool, positives, edges).collect())) == want and len(want) > 15
+
+
+def test_spectral_vectors_are_those_of_a_dense_matrix(spark, monkeypatch):
+    edges = _edges(spark, copies=2)
+    both = [(r.src, r.tgt) for r in G.symmetric(edges).collect()]
+    ids = sorted({a for a, _ in both})
+    m = np.zeros((len(ids), len(ids)))
+    for a, b in both:
+        m[ids.index(a), ids.index(b)] = 1
+    m /= np.sqrt(np.outer(m.sum(1), m.sum(1)))
+    monkeypatch.setattr(S, "SLICE", 16)
+    rows, values = S.spectral(edges, 18, tol=1e-4)
+    assert np.allclose(values, np.linalg.svd(m, compute_uv=False)[:18], atol=1e-3) and len(values) == 18
+    found = {r.id: r.x for r in rows.collect()}
+    assert sorted(found) == ids
+    x = np.array([found[i] for i in ids])
+    assert np.allclose(x.T @ x, np.diag(np.square(values)), atol=1e-3)
+    assert np.allclose(m @ m @ x, x * np.square(values), atol=1e-3)
+    monkeypatch.setattr(X, "NODES", 20)  # over the bounds: the whole job by joins
+    monkeypatch.setattr(walks, "singular", lambda matrix, k, *more, **others: (matrix, None, [matrix.count()]))
+    assert S.spectral(edges, 5)[1] == [len(both)]
