@@ -63,3 +63,41 @@ def test_features_ranks_and_fit(spark, full):
             order = [k for _, k in sorted(zip(-x, c))]
             want[s] = (min(order.index(t) for t in own) + 1, len(own))
     assert got == want
+
+
+def test_training_takes_the_steps_of_batches_by_hash(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from graphloom.operators.encoders import Adam
+
+    rng = np.random.default_rng(1)
+    groups = [(rng.integers(0, 3, 3).astype(float).tolist(), rng.integers(0, 3, (int(k), 3)).astype(float).tolist(), int(v)) for k, v in zip(rng.integers(1, 5, 1500), rng.integers(0, 1 << 30, 1500))]
+    mean, dev, w = np.ones(3), np.full(3, 0.7), L.initial(3, 2)
+    read, gradient = [], L._gradient
+    monkeypatch.setattr(L, "_gradient", lambda some, *more: read.append(some) or gradient(some, *more))
+    got, losses = L.trained(spark.createDataFrame(groups, "pos array<double>, neg array<array<double>>, u long"), w, mean, dev, 3, 4, Adam(1e-2, 1e-5))
+    x, adam, want = w, Adam(1e-2, 1e-5), []
+    table = spark.createDataFrame([g[2:] for g in groups], "u long")
+    turns = [[r.k for r in table.select(F.pmod(F.xxhash64(F.lit(e), "u"), F.lit(4)).alias("k")).collect()] for e in range(3)]
+    for turn in turns:
+        sums = 0.0
+        for k in range(4):
+            loss, pairs, grad = 0.0, 0, 0.0
+            for pos, neg, _ in (g for g, t in zip(groups, turn) if t == k):
+                one, g = L.margin_loss(x, (np.array([pos]) - mean) / dev, (np.array([neg]) - mean) / dev)
+                loss, pairs, grad = loss + one, pairs + len(neg), grad + L._flat(g)
+            sums += loss
+            x = L._like(adam.next(L._flat(x), grad / pairs), x)
+        want.append(sums)
+    assert len(read) == 12 and "PartitionFilters: [isnotnull(k" in read[5]._jdf.queryExecution().toString()
+    assert np.allclose(losses, want) and np.allclose(L._flat(got), L._flat(x), atol=1e-9)
+
+
+@pytest.mark.parametrize("full", [True, False])
+def test_far_pairs_by_terms_equal_the_network(full):
+    rng = np.random.default_rng(7)
+    x, y = (np.hstack([rng.integers(0, 2, (n, 3 * full)), rng.integers(0, 4, (n, 1))]).astype(float) for n in (300, 280))
+    width = 8 if full else 3
+    s = L.Scorer(L.initial(width, 1), rng.standard_normal(width), rng.random(width) + 0.5, full)
+    want = [s.near(np.zeros((len(y), 5)), np.tile(r, (len(y), 1)), y) for r in x]
+    assert np.allclose(s.grid(x, y, False), want, atol=2e-9)
