@@ -175,3 +175,20 @@ def test_training_lowers_the_loss_and_keeps_by_rule(spark):
     p, epoch, history = E.train(t, s, lambda e: pairs, 1, 3, value, every=1, patience=5, rate=0.05)
     assert epoch == 2 and [h["val"] for h in history] == [0.3, 0.2, 0.5, 0.4]
     assert history[3]["loss"] < history[1]["loss"] and float(p["scale"][0]) == seen[2]
+
+
+def test_a_tile_of_pairs_gives_one_row_of_gradients_an_end(spark, monkeypatch):
+    """100,000 pairs of 30 nodes: rows of gradients follow the nodes and not the pairs, and tiles of any number give the same."""
+    s = E.shape("gcn_dir", DIM, HIDDEN)
+    g, p = graph(), drawn(s)
+    t = spread(spark, s, *g)
+    pairs = spark.range(100_000).selectExpr(f"id % {N} AS src", "id * 7 % 31 AS tgt", "cast(id % 2 AS double) AS y").persist()  # 30 has no vector
+    kept, rows = Scratch.keep, []
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, tag="step": (out := kept(self, df, tag), rows.append(out.where("what = 'dz'").count() if "what" in out.columns else 0))[0])
+    one = E.gradient(t, s, p, pairs)
+    assert N < max(rows) <= 2 * N
+    monkeypatch.setattr(E, "FEW", 100)
+    rows.clear()
+    many = E.gradient(t, s, p, pairs)
+    assert max(rows) <= 2 * 4 * N
+    assert many[0] == pytest.approx(one[0], rel=1e-12) and np.allclose(many[1], one[1], atol=1e-12)

@@ -1,5 +1,6 @@
 """The graph core against plain Python, and queries against DuckDB on the smallest tables."""
 
+import hashlib
 import random
 
 import duckdb
@@ -80,3 +81,19 @@ def test_two_hop_deals_as_many_tasks_as_its_paths_need(spark):
     got = G.two_hop(edges, most=100)
     assert "hashpartitioning(src" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 41)" in plan
     assert {(r.src, r.tgt): r.paths for r in got.collect()} == {(a, c): 4 for a in range(30) for c in range(30)} | {(100 + b, 100 + d): 30 for b in range(4) for d in range(4)}
+
+
+def test_negatives_are_dealt_to_as_many_tasks_as_their_draws_need(spark, monkeypatch):
+    """Sources of few and of many edges against the definition, one number at a time."""
+    monkeypatch.setattr(G, "DRAWS", 400)
+    edges = sorted({(s, (s * 7 + k * 11) % 400) for s in range(0, 300, 9) for k in range(1 + s % 14)})
+    win = [(i, i + 1, "fit" if i < 300 else "test") for i in range(400)]
+    got = G.negatives(spark.createDataFrame(edges, "src long, tgt long"), spark.createDataFrame(win, "id long, rn long, win string"), ":5:")
+    assert f", {-(-10 * len(edges) // 400)})" in got._jdf.queryExecution().executedPlan().toString()
+    want = set()
+    for s in {a for a, _ in edges}:
+        own = [b for a, b in edges if a == s]
+        h = lambda j: int(hashlib.md5(f"{s}:5:{j}".encode()).hexdigest()[:15], 16)  # noqa: B023, E731
+        places = (h(j) % 300 + 1 for j in range(1, 40 * len(own) + 1)) if 40 * len(own) < 300 else sorted(range(1, 301), key=lambda j: (h(j), j))
+        want |= {(s, i - 1) for i in [i for i in dict.fromkeys(places) if i - 1 not in own][: 10 * len(own)]}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
