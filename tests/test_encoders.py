@@ -192,3 +192,23 @@ def test_a_tile_of_pairs_gives_one_row_of_gradients_an_end(spark, monkeypatch):
     many = E.gradient(t, s, p, pairs)
     assert max(rows) <= 2 * 4 * N
     assert many[0] == pytest.approx(one[0], rel=1e-12) and np.allclose(many[1], one[1], atol=1e-12)
+
+
+@pytest.mark.parametrize("model", ["gcn_dir", "ragat_time"])
+def test_a_tile_of_messages_gives_one_sum_a_node(spark, monkeypatch, model):
+    """40,000 edges of 400 nodes in one tile a view; tiles of any number and joins give the same."""
+    s = E.shape(model, 2, 2, heads=2, dropout=0.2)
+    nodes = spark.range(400).selectExpr("id", "array(sin(id), cos(id)) AS x", "array_repeat(id / 400.0D, 13) AS desc").repartition(3).persist()
+    edges = spark.range(40_000).selectExpr("id % 400 AS src", "(id % 400 + id div 400 * 3 + 1) % 400 AS tgt").where("src <> tgt").distinct().persist()
+    t, p = E.tables(nodes, edges, s, 400), drawn(s)
+    pairs = edges.where("src % 50 = 0").selectExpr("src", "tgt", "cast(tgt % 2 AS double) AS y").persist()
+    with Scratch(spark) as scratch:
+        b = spark.sparkContext.broadcast(E.flat(p, s))
+        first = scratch.keep(E._node_pass(t, None, E.begin, s, b, 0, {}))
+        assert E._edge_pass(t, first, "1", "l", "r" if s.attends else "", E._forward, s, b, 7).count() == 2 * 400
+    one = E.gradient(t, s, p, pairs, 7)
+    monkeypatch.setattr(E, "BLOCK", 100)
+    many = E.gradient(E.tables(nodes, edges, s, 400), s, p, pairs, 7)
+    monkeypatch.setattr(E, "TILED", 0)
+    for other in (many, E.gradient(t, s, p, pairs, 7)):
+        assert other[0] == pytest.approx(one[0], rel=1e-12) and np.allclose(other[1], one[1], atol=1e-12)
