@@ -1,11 +1,13 @@
 """Content vectors and spectral rankings against dense numpy, reports and audits against DuckDB, record conventions."""
 
+import inspect
 import json
 
 import duckdb
 import numpy as np
 import pytest
 
+from graphloom.operators.tables import children, shared_folder
 from graphloom.plans import audits, floors, models, registry, statistics, stores
 from graphloom.sources import packages as P
 
@@ -144,3 +146,27 @@ def test_messages_of_an_encoder_are_written_once(spark, monkeypatch, name):
     monkeypatch.setattr(models.E, "encode", lambda t, *more: seen.append(t.messages._jdf.queryExecution().executedPlan().toString()) or encode(t, *more))
     assert models.QUERIES[name](spark, SF).count() == 200
     assert "Exchange" not in seen[0] and "FileScan parquet" in seen[0]
+
+
+@pytest.mark.parametrize("name", ["train_gcn_dir", "train_ragat_time"])
+def test_trainings_have_all_their_epochs(monkeypatch, name):
+    class Asked(Exception):
+        pass
+
+    def asked(*args, whole=inspect.signature(models.training), **more):
+        of = whole.bind(*args, **more)
+        of.apply_defaults()
+        raise Asked(of.arguments["epochs"], of.arguments["patience"])
+
+    monkeypatch.setattr(models, "training", asked)
+    with pytest.raises(Asked) as said:
+        models.QUERIES[name](None, SF)
+    assert said.value.args == (100, 20)
+
+
+def test_tables_of_a_validation_go_with_it(spark):
+    at = f"{shared_folder(spark)}/graphloom"
+    before = set(children(spark, at))
+    models.training(spark, SF, "sage_dir", 1, hidden=4)
+    left = {x.split("-")[0] for x in set(children(spark, at)) - before}
+    assert "metrics" in left and not left & {"tops", "asks", "candidates", "tiles", "step"}
