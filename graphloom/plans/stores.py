@@ -89,13 +89,36 @@ def _described(who: str = "") -> str:
     return sql + " SELECT id, " + ", ".join(f"round({c}, 6) AS {c}" for c in R.COLUMNS) + " FROM raw WHERE win = 'fit'"
 
 
+#: What Spark's text has in place of the SQL's. NOT IN brings all of its list to the driver, and here no target is null; tables of a row for each node or edge are merged,
+#: as copies of those under a broadcast's bound would be on the driver too, ten at a time.
+_MERGED = (
+    ("id NOT IN (SELECT tgt FROM fe)", "NOT EXISTS (SELECT 1 FROM fe WHERE fe.tgt = win.id)"),
+    ("fe AS (SELECT e.src", "fe AS (SELECT /*+ MERGE(w) */ e.src"),
+    ("SELECT px.id, term, ", "SELECT /*+ MERGE(pn) */ px.id, term, "),
+    ("sim AS (SELECT f.src", "sim AS (SELECT /*+ MERGE(a, b) */ f.src"),
+    ("aged AS (SELECT e.src", "aged AS (SELECT /*+ MERGE(a, b) */ e.src"),
+    ("nin AS (SELECT e.tgt", "nin AS (SELECT /*+ MERGE(o) */ e.tgt"),
+    ("nout AS (SELECT e.src", "nout AS (SELECT /*+ MERGE(i) */ e.src"),
+    ("rec AS (SELECT a.src", "rec AS (SELECT /*+ MERGE(b) */ a.src"),
+    ("raw AS (SELECT w.id", "raw AS (SELECT /*+ MERGE(cin, cout, din, dout, nin, nout, rec, rin, rout, cit) */ w.id"),
+)
+
+
+def _version(spark: SparkSession, sf_dir: str, who: str) -> DataFrame:
+    """The descriptors of one version of the content."""
+    sql = _described(who)
+    for old, new in _MERGED:
+        sql = sql.replace(old, new)
+    return R._spark(sql)(spark, sf_dir)
+
+
 def descriptor_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptors of fit nodes over two versions of the content: nothing moves with nodes out of the fit graph, something does with one in it.
 
-    Each version is worked out and written by itself, so the driver holds one version's plan and small tables at a time.
+    Each version is worked out and written by itself, so the driver holds one version's plan at a time.
     """
     with Scratch(spark) as scratch:
-        described = lambda who: scratch.keep(R._spark(_described(who))(spark, sf_dir), "described")
+        described = lambda who: scratch.keep(_version(spark, sf_dir, who), "described")
         before = described("")
         rows = [C.differing(before, described(who)).withColumn("changed", F.lit(who)) for who in ("free", "planted")]
         return Scratch(spark).keep(rows[0].union(rows[1]), "invariance")

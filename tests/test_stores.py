@@ -10,6 +10,7 @@ import pytest
 
 from graphloom.operators import jobs as J
 from graphloom.operators import tables as X
+from graphloom.plans import stores
 from graphloom.sources import packages as P
 from graphloom.sources import runs as R
 from graphloom.sources import snapshots as S
@@ -163,3 +164,13 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         X.shared_folder(Far)
+
+
+def test_invariance_brings_no_table_of_edges_to_the_driver(spark, monkeypatch):
+    seen, keep = [], stores.Scratch.keep
+    monkeypatch.setattr(stores.Scratch, "keep", lambda self, df, tag="step": seen.append((tag, df._jdf.queryExecution().executedPlan().toString())) or keep(self, df, tag))
+    got = {r.changed: (r.gone, r.new) for r in stores.descriptor_invariance(spark, "/root/testdata/sf0.001").collect()}
+    assert got["free"] == (0, 0) and got["planted"][0] == got["planted"][1] > 0
+    plans = [plan for tag, plan in seen if tag == "described"]
+    assert len(plans) == 3 and not any("LeftAnti, BuildRight, true" in p for p in plans)  # NOT IN: a list on the driver whatever its size
+    assert all("SortMergeJoin" in p and "LeftOuter, BuildRight" not in p for p in plans)
