@@ -69,3 +69,23 @@ def test_many_rows_of_few_columns_go_by_their_gram_matrix(spark, monkeypatch):
     assert np.allclose(got, want, atol=1e-9) and met == [1]  # the rows of the result alone
     y = np.array([r.x for r in columns.orderBy("id").collect()])
     assert np.allclose(a @ y, np.array([r.x for r in rows.orderBy("id").collect()]), atol=1e-9)
+
+
+def test_ranks_deal_vectors_and_not_pairs_of_tiles(spark, monkeypatch):
+    rows, columns = walks.dealt(84_000, 1_100_000, 46, 8)
+    assert 84_000 * columns + 1_100_000 * rows < 2e7 and rows * columns * walks.MANY >= 0.5 * 84_000 * 1_100_000  # tiles of 1,024 were met 8.8e4 times, of 2,048 vectors
+    assert walks.dealt(0, 0, 1, 8) == (1, 1)
+    monkeypatch.setattr(walks, "HELD", 400)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.standard_normal((300, 3)), 1)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    pos = spark.createDataFrame([(i, (7 * i + 1) % 300) for i in range(0, 300, 2)], "src long, tgt long")
+    found = walks.best_ranks(table.select("id"), pos, table)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    score = np.round(x @ x.T, 9)
+    for r in found.collect():
+        t = (7 * r.source + 1) % 300
+        s = score[r.source]
+        assert r.best_rank == 1 + sum((s[i], -i) > (s[t], -t) for i in range(300) if i != r.source)
+    assert found.count() == 150
