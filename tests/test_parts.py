@@ -79,3 +79,10 @@ def test_spectral_vectors_are_those_of_a_dense_matrix(spark, monkeypatch):
     monkeypatch.setattr(X, "NODES", 20)  # over the bounds: the whole job by joins
     monkeypatch.setattr(walks, "singular", lambda matrix, k, *more, **others: (matrix, None, [matrix.count()]))
     assert S.spectral(edges, 5)[1] == [len(both)]
+
+
+def test_a_start_with_small_values_keeps_its_rank():
+    values, x = np.linspace(0.0366, 0.0317, 160), np.ones((1, 1))  # of a hashed start in 120,000 nodes, whose largest value is 1
+    step = S._damped(values, 8)
+    for v in (1.0, 0.9, 0.5):
+        assert abs(step(lambda y: y * np.sqrt(v), [x, v * x])[0][0, 0]) <= 1e4 * max(abs(step(lambda y: y * np.sqrt(w), [x, w * x])[0][0, 0]) for w in values)
