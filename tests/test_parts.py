@@ -86,3 +86,12 @@ def test_a_start_with_small_values_keeps_its_rank():
     step = S._damped(values, 8)
     for v in (1.0, 0.9, 0.5):
         assert abs(step(lambda y: y * np.sqrt(v), [x, v * x])[0][0, 0]) <= 1e4 * max(abs(step(lambda y: y * np.sqrt(w), [x, w * x])[0][0, 0]) for w in values)
+
+
+def test_a_part_goes_to_as_many_tasks_as_keep_the_cores_at_work(spark, monkeypatch):
+    monkeypatch.setattr(walks, "WALKS", 1)
+    edges = spark.createDataFrame([(k, (k + 1) % 100) for k in range(100)], "src long, tgt long")
+    found = walks.personal_rank(edges, edges.select("src"))
+    each = -(-100 // (4 * spark.sparkContext.defaultParallelism))
+    assert each > 1 and f"/ cast({each} as double)" in found._jdf.queryExecution().analyzed().toString()  # a copy for each source before
+    assert found.select("src").distinct().count() == 100
